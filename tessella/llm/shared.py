@@ -67,7 +67,7 @@ def write_atomically(uri: str, write: Callable) -> None:
     files, path = filesystem(uri)
     files.create_dir(os.path.dirname(path), recursive=True)
     aside = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
-    with files.open_output_stream(aside) as out:
+    with files.open_output_stream(aside, compression=None) as out:
         write(out)
     files.move(aside, path)
 
