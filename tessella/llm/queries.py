@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import exacthash, sql, urltrie, warc
+from . import bpe, exacthash, langid, packing, sql, urltrie, warc
 
 URL_RULES: list[urltrie.Rule] = [
     ("block", "net", "/"),
@@ -17,6 +18,11 @@ URL_RULES: list[urltrie.Rule] = [
 ]
 
 
+def vocabulary() -> str:
+    """Path of the public vocabulary file; every executor has it installed."""
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages"))
 
@@ -25,12 +31,24 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exacthash.exact_dedup(load(spark, sf_dir, "documents")).drop("bucket")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(load(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"), vocabulary())
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltrie.judge_urls(load(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(load(spark, sf_dir, "documents"), vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_exact_dedup, op7_url_filter)}
+    return {f.__name__: f for f in (op2_warc, op3_exact_dedup, op4_language_id, op5_packing, op7_url_filter, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
