@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import bpe, exacthash, langid, packing, sql, urltrie, warc
+from . import bpe, exacthash, langid, ordinal, packing, sql, urltrie, warc
 
 URL_RULES: list[urltrie.Rule] = [
     ("block", "net", "/"),
@@ -23,6 +23,18 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def quality_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> ordinal.CumulativeLink:
+    """The quality classifier, fitted to the ratings table."""
+    rated = load(spark, sf_dir, "labels")
+    graded = rated.select("doc_id", ordinal.grade_of(rated["quality"], rated["toxic"]).alias("grade"))
+    return ordinal.train(docs, graded)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return ordinal.score(docs, quality_model(docs, spark, sf_dir))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages"))
 
@@ -48,7 +60,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_exact_dedup, op4_language_id, op5_packing, op7_url_filter, op8_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_warc, op3_exact_dedup, op4_language_id, op5_packing, op7_url_filter, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
