@@ -37,7 +37,7 @@ RATE = 0.3
 SHRINK = 1e-5
 #: Documents stay if P(grade >= SELECT_GRADE) is at least SELECT_PROBABILITY.
 SELECT_GRADE = 2
-SELECT_PROBABILITY = 0.5
+SELECT_PROBABILITY = 0.65
 CACHE_WORDS = 1_000_000
 
 _LETTERS, _DIGITS = regex.compile(r"\p{L}+"), regex.compile(r"\p{N}+")
