@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import bpe, exacthash, langid, ordinal, packing, sql, urltrie, warc
+from . import bpe, exacthash, langid, ordinal, packing, sql, suffixlevels, urltrie, warc
 
 URL_RULES: list[urltrie.Rule] = [
     ("block", "net", "/"),
@@ -51,6 +51,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixlevels.repeated_bytes(load(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltrie.judge_urls(load(spark, sf_dir, "pages"), URL_RULES)
 
@@ -60,7 +64,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_warc, op3_exact_dedup, op4_language_id, op5_packing, op7_url_filter, op8_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_warc, op3_exact_dedup, op4_language_id, op5_packing, op6_suffix_dedup, op7_url_filter, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
