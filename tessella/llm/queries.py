@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import bpe, dartminhash, exacthash, langid, ordinal, packing, sql, suffixlevels, urltrie, warc
+from . import bpe, capfilter, dartminhash, exacthash, langid, ordinal, packing, sql, suffixlevels, urltrie, warc
 
 URL_RULES: list[urltrie.Rule] = [
     ("block", "net", "/"),
@@ -63,12 +63,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(load(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilter.near_vectors(load(spark, sf_dir, "embeddings"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_warc, op3_exact_dedup, op4_language_id, op5_packing, op6_suffix_dedup, op7_url_filter, op8_bpe, op10_minhash)}
+    return {f.__name__: f for f in (op1_quality, op2_warc, op3_exact_dedup, op4_language_id, op5_packing, op6_suffix_dedup, op7_url_filter, op8_bpe, op9_cap_filters, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
