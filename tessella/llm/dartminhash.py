@@ -325,7 +325,8 @@ class _Search:
         sets = leaders.groupBy("batch").applyInArrow(_sets(self.folder, self.text), "uid long, cells binary")
         # a leader's set goes once to each batch that has members of it
         asked = pairs.withColumn("batch", _batch("member")).groupBy("batch", "leader").agg(F.collect_list("member").alias("members"))
-        sent = asked.join(sets.withColumnRenamed("uid", "leader"), "leader")
+        # Spark takes the sets for as small as the ids they are made from and would broadcast them
+        sent = asked.join(sets.withColumnRenamed("uid", "leader").hint("merge"), "leader")
         new = sent.groupBy("batch").applyInArrow(_verify(self.folder, self.text, self.least), "a long, b long")
         return written(new if found is None else new.unionByName(found), "dart-links")
 
