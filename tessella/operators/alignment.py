@@ -12,6 +12,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SKIP = 0.1
 THRESHOLD = 0.4
@@ -131,20 +132,30 @@ def assign_below(a: list[str], b: list[str], threshold: float = THRESHOLD) -> li
 def cogrouped(left: DataFrame, right: DataFrame, by: list[str], order: str, text: str, kernel: Callable[[list[str], list[str]], list], inner: bool = True) -> DataFrame:
     """(by, a, b, cost): positions that a kernel aligns, per group; groups on one side only are dropped if ``inner``."""
     kinds = dict(left.dtypes)
+    # names of their own keep Spark from mixing up the columns of two sides with one origin
+    columns = [*by, order, text]
+    left = left.select(*columns)
+    right = right.select(*[F.col(c).alias(f"other_{c}") for c in columns])
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", a long, b long, cost double"
 
+    kinds_out = {"a": "Int64", "b": "Int64", "cost": "float64"}
+
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        y = y.rename(columns={f"other_{c}": c for c in columns})
         some = x if len(x) else y
+        none = pd.DataFrame({c: some[c].iloc[:0] for c in by} | {c: pd.Series([], dtype=t) for c, t in kinds_out.items()})
         if inner and (x.empty or y.empty):
-            return pd.DataFrame({c: some[c].iloc[:0] for c in by} | {"a": [], "b": [], "cost": []})
+            return none
         x, y = x.sort_values(order, kind="stable"), y.sort_values(order, kind="stable")
         rows = kernel(x[text].fillna("").tolist(), y[text].fillna("").tolist())
-        out = pd.DataFrame(rows, columns=["a", "b", "cost"]).astype({"a": "Int64", "b": "Int64", "cost": "float64"})
+        if not rows:
+            return none
+        out = pd.DataFrame(rows, columns=["a", "b", "cost"]).astype(kinds_out)
         for k, c in enumerate(by):
             out.insert(k, c, some[c].iloc[0])
         return out
 
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, schema)
+    return left.groupBy(*by).cogroup(right.groupBy(*[f"other_{c}" for c in by])).applyInPandas(run, schema)
 
 
 def ordered_kernel(skip: float = SKIP) -> Callable:
