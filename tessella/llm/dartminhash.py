@@ -13,10 +13,10 @@ Signatures are joined by bands of ``ROWS`` coordinates: at similarity 0.8 a pair
 confirms count. Texts with equal words form one class and enter once. Within a band's bucket
 no pairs are formed: members are compared with leaders, connected components are taken, and
 only buckets that still hold several components go on. After ``STAR_ROUNDS`` rounds every
-member outside its bucket's largest component is compared with all members of the others, so
-components are as if all pairs of the bucket had been compared. That last join leaves out pairs
-by exact bounds only (the sizes of the two sets) and by the number of equal coordinates, where
-a pair of similarity 0.8 falls below ``LEAST_EQUAL`` of 64 with a probability under 1e-6.
+member outside its bucket's largest component is compared with all members of other components,
+so components are as if all pairs of the bucket had been compared: members are packed into
+blocks, and each pair of blocks is one piece of work that multiplies 0/1 matrices of cells and
+returns a spanning forest of what it links. No pair is left out, whatever the bucket's size.
 
 Texts are stored once as numbered batches; the sets of leaders travel to the members' batches.
 
@@ -43,7 +43,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 COORDINATES = BANDS * ROWS
 STAR_ROUNDS = 3
-LEAST_EQUAL = 34
+#: Members, and cells of members, of a block.
+BLOCK, BLOCK_CELLS = 2048, 1 << 21
 BATCH_BYTES = 8 << 20
 CHUNK = 2 << 20
 
@@ -177,7 +178,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _signed(folder: str, id_col: str, text_col: str):
-    """Per row of a batch: uid, id, digest of its words, number of cells, bands, short signature."""
+    """Per row of a batch: uid, id, digest of its words, number of cells, bands."""
 
     def use(rows: pa.Table, number: int):
         ids = pa.concat_arrays(rows.column(id_col).cast(pa.int64()).chunks)
@@ -192,7 +193,6 @@ def _signed(folder: str, id_col: str, text_col: str):
                 [np.frombuffer(hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest(), np.int64) for t in part]
             ).reshape(-1, 2)
             digest[weight == 0] = np.stack([uid, np.full(len(uid), -1)], axis=1)[weight == 0]
-            low = (signature & _U(0xFFFFFFFF)).astype(np.uint32)
             offsets = pa.array(np.arange(0, (len(part) + 1) * BANDS, BANDS, dtype=np.int32))
             yield pa.record_batch(
                 {
@@ -202,15 +202,14 @@ def _signed(folder: str, id_col: str, text_col: str):
                     "d2": pa.array(digest[:, 1].copy()),
                     "weight": pa.array(weight.astype(np.int64)),
                     "bands": pa.ListArray.from_arrays(offsets, pa.array(bands(signature).ravel())),
-                    "sig": pa.array([r.tobytes() for r in low], pa.binary()),
                 }
             )
 
     return use
 
 
-def _sets(folder: str, text_col: str):
-    """Sets of cells of the rows of a batch that are asked for."""
+def _sets(folder: str, text_col: str, short: bool = False):
+    """Sets of cells of the rows of a batch that are asked for; ``short``: 32 bits of each."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rows = read_batch(folder, key[0].as_py())
@@ -219,6 +218,8 @@ def _sets(folder: str, text_col: str):
         found = []
         for lo, hi in _groups(texts):
             cell, bounds = cells(texts[lo:hi])
+            if short:
+                cell = (cell >> _U(32)).astype(np.uint32)
             found += [np.sort(cell[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         return pa.table({"uid": pa.array(uid), "cells": pa.array(found, pa.binary())})
 
@@ -250,6 +251,79 @@ def _verify(folder: str, text_col: str, least: float):
     return run
 
 
+def _pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """One row for all members of a block."""
+    uid = table.column("uid").to_numpy()
+    order = np.argsort(uid)
+    data = table.column("cells").take(pa.array(order)).to_pylist()
+    return pa.table(
+        {
+            "band": pa.array([key[0].as_py()], pa.int64()),
+            "block": pa.array([key[1].as_py()], pa.int32()),
+            "others": table.column("others").slice(0, 1),
+            "mains": table.column("mains").slice(0, 1),
+            "uids": [uid[order].tobytes()],
+            "components": [table.column("component").to_numpy()[order].tobytes()],
+            "sizes": [np.array([len(x) // 4 for x in data], np.int64).tobytes()],
+            "cells": [b"".join(data)],
+        }
+    )
+
+
+def _overlaps(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all sets of one block with all of another, by products of 0/1 matrices."""
+    names = np.intersect1d(a, b)
+    out = np.zeros((len(a_sizes), len(b_sizes)), np.float32)
+
+    def places(cell: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, col = np.repeat(np.arange(len(sizes)), sizes), np.searchsorted(names, cell)
+        hit = names[np.minimum(col, len(names) - 1)] == cell
+        order = np.argsort(col[hit], kind="stable")
+        return row[hit][order], col[hit][order]
+
+    if not len(names):
+        return out
+    (ra, ca), (rb, cb) = places(a, a_sizes), places(b, b_sizes)
+    for at in range(0, len(names), 1024):
+        x, y = np.zeros((len(a_sizes), 1024), np.float32), np.zeros((len(b_sizes), 1024), np.float32)
+        i, j = np.searchsorted(ca, [at, at + 1024])
+        x[ra[i:j], ca[i:j] - at] = 1
+        i, j = np.searchsorted(cb, [at, at + 1024])
+        y[rb[i:j], cb[i:j] - at] = 1
+        out += x @ y.T
+    return out
+
+
+def _block_links(least: float):
+    """Links between the members of two blocks that join different components, as a forest."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        blocks = []
+        for k in np.argsort(table.column("block").to_numpy(), kind="stable").tolist():
+            raw = [table.column(c)[k].as_py() for c in ("uids", "components", "sizes", "cells")]
+            blocks.append([np.frombuffer(x, t) for x, t in zip(raw, (np.int64, np.int64, np.int64, np.uint32), strict=True)])
+        (uid, comp, size, cell), (uid2, comp2, size2, cell2) = blocks[0], blocks[-1]
+        both = _overlaps(cell, size, cell2, size2)
+        near = both >= least * (size[:, None] + size2[None, :] - both) - 1e-6
+        near &= (comp[:, None] != comp2[None, :]) & (size[:, None] > 0)
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for i, j in np.argwhere(near).tolist():
+            p, q = root(int(comp[i])), root(int(comp2[j]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((int(uid[i]), int(uid2[j])))
+        return pa.table({"leader": pa.array([a for a, _ in out], pa.int64()), "member": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
 def _batch(uid: str) -> Column:
     return F.shiftright(uid, ROW_BITS)
 
@@ -263,7 +337,7 @@ class _Search:
         use = _signed(self.folder, id_col, text_col)
         signed = docs.mapInArrow(
             spill_batches(self.folder, batch_bytes, use),
-            "uid long, id long, d1 long, d2 long, weight long, bands array<long>, sig binary",
+            "uid long, id long, d1 long, d2 long, weight long, bands array<long>",
         )
         self.rows = written(signed, "dart-signatures")
         self.total = self.rows.count()
@@ -281,8 +355,14 @@ class _Search:
         spread = reps.select("uid", "weight", F.posexplode("bands").alias("nth", "band"))
         sizes = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         n = spread.count()
+        # a text that shares many bands with many others is near the middle of its group: it leads
+        members = lookup(spread, sizes, ["band"], "n", n, F.col("uid")).filter(F.col("n") > 1)
+        members = members.groupBy("uid", "weight").agg(
+            F.sum("n").alias("central"), F.collect_list(F.struct("nth", "band", "n")).alias("own")
+        )
         members = written(
-            lookup(spread, sizes, ["band"], "n", n, F.col("uid")).filter(F.col("n") > 1), "dart-members"
+            members.select("uid", "weight", "central", F.explode("own").alias("o")).select("uid", "weight", "central", "o.*"),
+            "dart-members",
         )
         found = None
         for step in range(STAR_ROUNDS):
@@ -296,7 +376,7 @@ class _Search:
                 break
             found = self._confirmed(pairs, found)
         else:
-            rest = self._rest(self._with_components(members, found), reps)
+            rest = self._rest(self._with_components(members, found))
             if not rest.isEmpty():
                 found = self._confirmed(rest, found)
         return found if found is not None else members.select(F.col("uid").alias("a"), F.col("uid").alias("b")).limit(0)
@@ -309,9 +389,10 @@ class _Search:
         return members.join(parts, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
 
     def _leaders(self, now: DataFrame, step: int) -> DataFrame:
-        """Of each bucket with several components: a leader, the same for half of a group's bands."""
-        order = F.xxhash64("uid", F.lit(step), F.col("nth") % 2)
-        lead = F.min(F.struct(order.alias("order"), "uid", "weight", "component"))
+        """Of each bucket with several components: its most central member, by chance another one in later rounds."""
+        draw = F.pmod(F.xxhash64("uid", F.lit(step), F.col("nth") % 2), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        order = F.col("central") * (draw + 0.5 if step else F.lit(1.0))
+        lead = F.max(F.struct(order.alias("order"), "uid", "weight", "component"))
         found = now.groupBy("band").agg(
             F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), lead.alias("lead")
         )
@@ -330,20 +411,47 @@ class _Search:
         new = sent.groupBy("batch").applyInArrow(_verify(self.folder, self.text, self.least), "a long, b long")
         return written(new if found is None else new.unionByName(found), "dart-links")
 
-    def _rest(self, now: DataFrame, reps: DataFrame) -> DataFrame:
-        """Pairs of members of different components, one of them outside its bucket's largest component."""
+    def _rest(self, now: DataFrame) -> DataFrame:
+        """Candidates among members of different components, one of them outside its bucket's largest component.
+
+        Such members, and those of the largest component, are packed into blocks of bounded size;
+        each pair of blocks is one piece of work that returns a spanning forest of its links.
+        """
         parts = now.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-        main = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"))
-        main = main.filter("kinds > 1").select("band", F.col("top.component").alias("main"))
-        here = now.join(main, "band").select("band", "uid", "weight", "component", "main")
-        here = written(here.join(reps.select("uid", "sig"), "uid"), "dart-mixed")
-        rest = here.filter(F.col("component") != F.col("main"))
-        other = here.select("band", F.col("uid").alias("leader"), F.col("weight").alias("leader_weight"), F.col("component").alias("its"), F.col("sig").alias("its_sig"))
-        pairs = rest.join(other, "band").filter((F.col("component") != F.col("its")) & self._sizes_fit("weight", "leader_weight"))
-        byte = F.sequence(F.lit(0), F.lit(COORDINATES - 1))
-        equal = F.size(F.filter(byte, lambda i: F.substring(F.col("sig"), i * 4 + 1, F.lit(4)) == F.substring(F.col("its_sig"), i * 4 + 1, F.lit(4))))
-        pairs = pairs.filter(equal >= LEAST_EQUAL)
-        return written(pairs.select(F.least("uid", "leader").alias("leader"), F.greatest("uid", "leader").alias("member")).distinct(), "dart-rest")
+        main = parts.groupBy("band").agg(
+            F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")
+        )
+        main = main.filter("kinds > 1").select("band", "n", F.col("top.component").alias("main"))
+        total = max(1, now.count())
+        here = lookup(now.select("band", "uid", "weight", "component"), main, ["band"], "n", total, F.col("uid")).filter("n is not null")
+        here = here.withColumn("outside", F.col("component") != F.col("main"))
+        here = written(here.select("band", "uid", "weight", "component", "outside"), "dart-mixed")
+
+        def blocks(some) -> Column:
+            rows, cells_ = F.count(F.when(some, 1)), F.coalesce(F.sum(F.when(some, F.col("weight"))), F.lit(0))
+            return F.greatest(F.ceil(rows / F.lit(BLOCK)), F.ceil(cells_ / F.lit(BLOCK_CELLS))).cast("int")
+
+        sizes = here.groupBy("band").agg(
+            F.count(F.lit(1)).alias("n"), blocks(F.col("outside")).alias("others"), blocks(~F.col("outside")).alias("mains")
+        )
+        placed = lookup(here, sizes, ["band"], "n", max(1, here.count()), F.col("uid"))
+        draw = F.xxhash64("uid", F.lit("block"))
+        block = F.when(F.col("outside"), F.pmod(draw, F.col("others"))).otherwise(F.col("others") + F.pmod(draw, F.col("mains")))
+        placed = placed.withColumn("block", block.cast("int"))
+        wanted = here.select("uid").distinct().withColumn("batch", _batch("uid"))
+        sets = wanted.groupBy("batch").applyInArrow(_sets(self.folder, self.text, short=True), "uid long, cells binary")
+        full = placed.join(sets.hint("merge"), "uid")
+        packed = full.groupBy("band", "block").applyInArrow(
+            _pack, "band long, block int, others int, mains int, uids binary, components binary, sizes binary, cells binary"
+        )
+        packed = written(packed, "dart-blocks")
+        every = F.sequence(F.lit(0), F.when(F.col("block") < F.col("others"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1)
+        pairs = packed.withColumn("with", F.explode(every)).withColumns(
+            {"first": F.least("block", "with"), "second": F.greatest("block", "with")}
+        )
+        pairs = pairs.select("band", "first", "second", "block", "uids", "components", "sizes", "cells")
+        found = pairs.groupBy("band", "first", "second").applyInArrow(_block_links(self.least), "leader long, member long")
+        return written(found.distinct(), "dart-rest")
 
     def grouped(self) -> DataFrame:
         """Per row: uid, id, class_id, component_id, group_size, keeper."""

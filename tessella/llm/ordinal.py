@@ -38,7 +38,10 @@ SHRINK = 1e-5
 #: Documents stay if P(grade >= SELECT_GRADE) is at least SELECT_PROBABILITY.
 SELECT_GRADE = 2
 SELECT_PROBABILITY = 0.65
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
+#: Characters of text, and features of the sample, that are worked on at once.
+TEXT_CHUNK = 1 << 20
+FIT_CHUNK = 1 << 19
 
 _LETTERS, _DIGITS = regex.compile(r"\p{L}+"), regex.compile(r"\p{N}+")
 
@@ -88,6 +91,19 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return slots[order].astype(np.int32), values[order].astype(np.float32), starts
 
 
+def text_chunks(texts: list[str | None]) -> list[list[str | None]]:
+    """Runs of texts of about TEXT_CHUNK characters."""
+    out, used = [[]], 0
+    for text in texts:
+        n = len(text or "") + 64
+        if used and used + n > TEXT_CHUNK:
+            out.append([])
+            used = 0
+        out[-1].append(text)
+        used += n
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
@@ -107,7 +123,7 @@ class CumulativeLink:
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        tails = self.tails(*features(texts))
+        tails = np.concatenate([self.tails(*features(some)) for some in text_chunks(texts)])
         blank = np.array([not (t or "").strip() for t in texts], dtype=bool)
         tails[blank] = 0.0
         return tails
@@ -118,7 +134,10 @@ def fit(slots: np.ndarray, values: np.ndarray, starts: np.ndarray, grades: np.nd
     if len(np.unique(grades)) < 2:
         return CumulativeLink(None, np.zeros(max(0, n_grades - 1)))
     n = len(grades)
-    rows = np.repeat(np.arange(n), np.diff(starts))
+    # runs of documents of about FIT_CHUNK features bound the memory of a step
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, starts[-1] + FIT_CHUNK, FIT_CHUNK)).clip(0, n)).tolist()
+    if cuts[-1] != n:
+        cuts.append(n)
     below = (np.bincount(grades, minlength=n_grades).cumsum()[:-1] + 0.5) / (n + 1)
     first = np.log(below / (1 - below))
     gaps = np.log(np.maximum(np.diff(first), 1e-3))
@@ -127,17 +146,22 @@ def fit(slots: np.ndarray, values: np.ndarray, starts: np.ndarray, grades: np.nd
     for step in range(1, STEPS + 1):
         w, t = params
         theta = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
-        z = np.bincount(rows, weights=w[slots] * values, minlength=n)
         cut = np.concatenate([[-np.inf], theta, [np.inf]])
-        high, low = _sigmoid(cut[grades + 1] - z), _sigmoid(cut[grades] - z)
-        p = np.maximum(high - low, 1e-9)
-        up, down = high * (1 - high) / p, low * (1 - low) / p
-        slope_z = (up - down) / n  # of the negative log likelihood
-        slope_cut = np.bincount(grades, weights=-up / n, minlength=n_grades)[:-1]
-        slope_cut += np.bincount(grades, weights=down / n, minlength=n_grades)[1:]
+        slope_w, slope_cut = SHRINK * w, np.zeros(n_grades - 1)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own, weight = slots[starts[a] : starts[b]], values[starts[a] : starts[b]]
+            rows = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(starts[a : b + 1]))
+            z, grade = np.bincount(rows, weights=w[own] * weight, minlength=b - a), grades[a:b]
+            high, low = _sigmoid(cut[grade + 1] - z), _sigmoid(cut[grade] - z)
+            p = np.maximum(high - low, 1e-9)
+            up, down = high * (1 - high) / p, low * (1 - low) / p
+            slope_z = (up - down) / n  # of the negative log likelihood
+            slope_cut += np.bincount(grade, weights=-up / n, minlength=n_grades)[:-1]
+            slope_cut += np.bincount(grade, weights=down / n, minlength=n_grades)[1:]
+            slope_w += np.bincount(own, weights=slope_z[rows] * weight, minlength=DIMENSION)
         tail = np.cumsum(slope_cut[::-1])[::-1]
         slopes = [
-            np.bincount(slots, weights=slope_z[rows] * values, minlength=DIMENSION) + SHRINK * w,
+            slope_w,
             np.concatenate([tail[:1], tail[1:] * np.exp(t[1:])]),
         ]
         for k, slope in enumerate(slopes):
@@ -166,10 +190,11 @@ def train(
 
     def run(parts):
         for part in parts:
-            slots, values, starts = features(part.column("text").to_pylist())
-            cells = [
-                (slots[a:b].tobytes(), values[a:b].tobytes()) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)
-            ]
+            cells = []
+            for some in text_chunks(part.column("text").to_pylist()):
+                slots, values, starts = features(some)
+                for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    cells.append((slots[a:b].tobytes(), values[a:b].tobytes()))
             yield pa.record_batch(
                 {
                     "doc_id": part.column("doc_id"),
@@ -184,10 +209,12 @@ def train(
     rows = sorted(made.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
     if not rows:
         return CumulativeLink(None, np.zeros(n_grades - 1))
-    slots = np.concatenate([np.frombuffer(r["slots"], np.int32) for r in rows])
-    values = np.concatenate([np.frombuffer(r["values"], np.float32) for r in rows])
+    slots = np.frombuffer(b"".join(r["slots"] for r in rows), np.int32)
+    values = np.frombuffer(b"".join(r["values"] for r in rows), np.float32)
     starts = np.concatenate([[0], np.cumsum([len(r["slots"]) // 4 for r in rows])])
-    return fit(slots, values, starts, np.array([r["grade"] for r in rows]), n_grades)
+    grades = np.array([r["grade"] for r in rows])
+    del rows
+    return fit(slots, values, starts, grades, n_grades)
 
 
 def score(docs: DataFrame, model: CumulativeLink, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -91,19 +91,19 @@ def lookup(
     is_hot = F.col(weight) > F.lit(max(1.0, total * HOT_SHARE))
     number = F.xxhash64(*keys)
     hot = right.filter(is_hot).select(
-        number.alias("_hot_key"), *[F.col(k).alias(f"_hot_{k}") for k in keys], F.struct(*values).alias("_hot")
+        number.alias("_hash_hot"), *[F.col(k).alias(f"_hot_{k}") for k in keys], F.struct(*values).alias("_hot")
     )
     cold = right.filter(~is_hot).select(
-        number.alias("_cold_key"), *[F.col(k).alias(f"_cold_{k}") for k in keys], F.struct(*values).alias("_cold")
+        number.alias("_hash_cold"), *[F.col(k).alias(f"_cold_{k}") for k in keys], F.struct(*values).alias("_cold")
     )
     # one long as the only join key keeps hashed tables small; the bounds compare the keys themselves
     def same(side: str) -> list[Column]:
         return [(F.col(k) >= F.col(f"_{side}_{k}")) & (F.col(k) <= F.col(f"_{side}_{k}")) for k in keys]
 
-    both = left.withColumn("_key", number).join(F.broadcast(hot), _all([F.col("_key") == F.col("_hot_key"), *same("hot")]), "left")
-    apart = F.xxhash64(F.lit("answered"), spread, "_key")
-    both = both.withColumn("_key", F.when(F.col("_hot").isNotNull(), apart).otherwise(F.col("_key")))
-    match = [F.col("_key") == F.col("_cold_key"), *same("cold")]
+    both = left.withColumn("_hash", number).join(F.broadcast(hot), _all([F.col("_hash") == F.col("_hash_hot"), *same("hot")]), "left")
+    apart = F.xxhash64(F.lit("answered"), spread, "_hash")
+    both = both.withColumn("_hash", F.when(F.col("_hot").isNotNull(), apart).otherwise(F.col("_hash")))
+    match = [F.col("_hash") == F.col("_hash_cold"), *same("cold")]
     joined = both.join(cold, _all(match), "left")
     got = F.coalesce("_hot", "_cold")
     return joined.select(*[F.col(c) for c in left.columns], *[got[v].alias(v) for v in values])
