@@ -210,7 +210,6 @@ def near_vectors(
     text = F.to_json(F.struct("label", same.alias("v")))
     rows = rows.withColumn("key", F.when(F.col("fine"), F.md5(text)))
     entries = written(rows.select("vec_id", "key"), "cap-rows")
-    total = entries.count()
     classes = rows.filter("fine").groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("vector").alias("vector")
     )
@@ -244,7 +243,7 @@ def near_vectors(
     filed = written(filed, "cap-filters")
     spread = filed.select("rep", "label", F.explode("caps").alias("cap"))
     buckets = spread.groupBy("label", "cap").agg(F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1")
-    spread = lookup(spread, buckets, ["label", "cap"], "in_bucket", max(1, spread.count()), F.col("rep"))
+    spread = lookup(spread, buckets, ["label", "cap"], "in_bucket", F.col("rep"))
     spread = spread.filter("in_bucket > 1").withColumn("blocks", F.ceil(F.col("in_bucket") / F.lit(block)).cast("int"))
     spread = spread.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -261,9 +260,9 @@ def near_vectors(
     known = classes.select("key", "rep", "size", "least").join(counts, "rep", "left").join(parts, "rep", "left")
     known = known.withColumn("component", F.coalesce("component", "rep"))
     tops = known.groupBy("component").agg(F.min("least").alias("top"), F.count(F.lit(1)).alias("members"))
-    known = lookup(known, tops, ["component"], "members", max(1, n), F.col("rep"))
+    known = lookup(known, tops, ["component"], "members", F.col("rep"))
     known = known.select("key", "size", "top", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    both = lookup(entries, known, ["key"], "size", max(1, total), F.col("vec_id"))
+    both = lookup(entries, known, ["key"], "size", F.col("vec_id"))
     component = F.coalesce("top", "vec_id")
     return both.select(
         "vec_id",

@@ -24,16 +24,16 @@ def _state(links: DataFrame) -> tuple[int, int]:
     return row["n"], row["mark"]
 
 
-def _large_star(links: DataFrame, n: int) -> DataFrame:
+def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    found = lookup(both, least, ["u"], "n", 2 * n, F.col("v"))
+    found = lookup(both, least, ["u"], "n", F.col("v"))
     return found.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(links: DataFrame, n: int) -> DataFrame:
+def _small_star(links: DataFrame) -> DataFrame:
     least = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    found = lookup(links, least, ["u"], "n", n, F.col("v"))
+    found = lookup(links, least, ["u"], "n", F.col("v"))
     lesser = found.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return lesser.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -46,8 +46,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        stars = written(_large_star(links, state[0]), "links")
-        links = written(_small_star(stars, state[0]), "links")
+        stars = written(_large_star(links), "links")
+        links = written(_small_star(stars), "links")
         now = _state(links)
         if now == state:
             break

@@ -340,7 +340,6 @@ class _Search:
             "uid long, id long, d1 long, d2 long, weight long, bands array<long>",
         )
         self.rows = written(signed, "dart-signatures")
-        self.total = self.rows.count()
         first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("uid")))
         self.classes = written(
             self.rows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), first.alias("f")).select(
@@ -354,9 +353,8 @@ class _Search:
         reps = self.rows.filter(F.col("weight") > 0).join(self.classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
         spread = reps.select("uid", "weight", F.posexplode("bands").alias("nth", "band"))
         sizes = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        n = spread.count()
         # a text that shares many bands with many others is near the middle of its group: it leads
-        members = lookup(spread, sizes, ["band"], "n", n, F.col("uid")).filter(F.col("n") > 1)
+        members = lookup(spread, sizes, ["band"], "n", F.col("uid")).filter(F.col("n") > 1)
         members = members.groupBy("uid", "weight").agg(
             F.sum("n").alias("central"), F.collect_list(F.struct("nth", "band", "n")).alias("own")
         )
@@ -368,7 +366,7 @@ class _Search:
         for step in range(STAR_ROUNDS):
             now = members.withColumn("component", F.col("uid")) if found is None else self._with_components(members, found)
             mixed = self._leaders(now, step)
-            pairs = lookup(now.drop("n"), mixed, ["band"], "n", n, F.col("uid"))
+            pairs = lookup(now.drop("n"), mixed, ["band"], "n", F.col("uid"))
             pairs = pairs.filter(F.col("leader").isNotNull() & (F.col("component") != F.col("main")))
             pairs = pairs.filter(self._sizes_fit("weight", "leader_weight"))
             pairs = written(pairs.select("leader", F.col("uid").alias("member")).distinct(), "dart-pairs")
@@ -422,8 +420,7 @@ class _Search:
             F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")
         )
         main = main.filter("kinds > 1").select("band", "n", F.col("top.component").alias("main"))
-        total = max(1, now.count())
-        here = lookup(now.select("band", "uid", "weight", "component"), main, ["band"], "n", total, F.col("uid")).filter("n is not null")
+        here = lookup(now.select("band", "uid", "weight", "component"), main, ["band"], "n", F.col("uid")).filter("n is not null")
         here = here.withColumn("outside", F.col("component") != F.col("main"))
         here = written(here.select("band", "uid", "weight", "component", "outside"), "dart-mixed")
 
@@ -434,7 +431,7 @@ class _Search:
         sizes = here.groupBy("band").agg(
             F.count(F.lit(1)).alias("n"), blocks(F.col("outside")).alias("others"), blocks(~F.col("outside")).alias("mains")
         )
-        placed = lookup(here, sizes, ["band"], "n", max(1, here.count()), F.col("uid"))
+        placed = lookup(here, sizes, ["band"], "n", F.col("uid"))
         draw = F.xxhash64("uid", F.lit("block"))
         block = F.when(F.col("outside"), F.pmod(draw, F.col("others"))).otherwise(F.col("others") + F.pmod(draw, F.col("mains")))
         placed = placed.withColumn("block", block.cast("int"))
@@ -461,11 +458,11 @@ class _Search:
         tops = known.groupBy("component").agg(
             first.alias("f"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("members")
         )
-        classes = lookup(known, tops, ["component"], "members", max(1, self.total), F.col("rep"))
+        classes = lookup(known, tops, ["component"], "members", F.col("rep"))
         classes = classes.select(
             "d1", "d2", "n", "class_id", F.col("f.class_id").alias("component_id"), F.col("f.rep").alias("keeper"), F.col("size").alias("group_size")
         )
-        return lookup(self.rows.select("uid", "id", "d1", "d2"), classes, ["d1", "d2"], "n", self.total, F.col("uid"))
+        return lookup(self.rows.select("uid", "id", "d1", "d2"), classes, ["d1", "d2"], "n", F.col("uid"))
 
 
 def near_duplicates(

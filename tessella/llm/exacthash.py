@@ -105,14 +105,13 @@ def build_directory(keys: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[Di
     return directory, written(slots, "ehash-directory")
 
 
-def build_index(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int) -> tuple[DataFrame, DataFrame, int]:
-    """Entries (a row per document), classes (a row per distinct text), and the number of documents."""
+def build_index(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Entries (a row per document) and classes (a row per distinct text)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
         F.col(id_col).alias("doc_id"), F.length(text).cast("long").alias("n_cp"), normalised(F.col(text_col)).alias("norm")
     ).withColumn("h", F.xxhash64("norm"))
     entries = written(base.select("doc_id", "n_cp", "h", F.sha2("norm", 256).alias("sha")), "ehash-entries")
-    total = entries.count()
     directory, slots = build_directory(entries.select("h").distinct(), bucket_rows)
 
     # most code points, then smallest id, as one number that hash aggregation can hold
@@ -135,13 +134,13 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int) -
     owned = owned.withColumn("link", F.row_number().over(chain)).withColumn(
         "sha", F.when(twin, F.raise_error(F.lit("two different texts share hash and SHA-256"))).otherwise(F.col("sha"))
     )
-    return entries, written(owned.select("bucket", "h", "link", "sha", "n", "keep_id", "keep_cp"), "ehash-index"), total
+    return entries, written(owned.select("bucket", "h", "link", "sha", "n", "keep_id", "keep_cp"), "ehash-index")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """A row per document: doc_id, keep_id, group_size, kept, text_sha256, bucket."""
-    entries, classes, total = build_index(docs, id_col, text_col, bucket_rows)
-    both = lookup(entries, classes.drop("link"), ["h", "sha"], "n", total, F.col("doc_id"))
+    entries, classes = build_index(docs, id_col, text_col, bucket_rows)
+    both = lookup(entries, classes.drop("link"), ["h", "sha"], "n", F.col("doc_id"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == F.col("keep_cp"))
     return both.select(
         "doc_id", "keep_id", F.col("n").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"), "bucket"
@@ -150,7 +149,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The rows of ``docs`` that stay, one per distinct text, with all their columns."""
-    _, classes, _ = build_index(docs, id_col, text_col, bucket_rows)
+    _, classes = build_index(docs, id_col, text_col, bucket_rows)
     text = F.coalesce(F.col(text_col), F.lit(""))
     norm = normalised(F.col(text_col))
     own = docs.select(

@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key with more than this share of all rows is hot; there are at most 1/HOT_SHARE such keys.
-HOT_SHARE = 1 / 1000
+#: The heaviest keys of a lookup that are broadcast; any key with over 1/HOT_KEYS of all rows is among them.
+HOT_KEYS = 1000
 #: Rows of a batch are numbered below 2**ROW_BITS, so (batch, row) fits one long.
 ROW_BITS = 24
 #: Batches that one task may write.
@@ -77,23 +77,22 @@ def lookup(
     right: DataFrame,
     keys: list[str],
     weight: str,
-    total: int,
     spread: Column,
 ) -> DataFrame:
     """Left-join ``left`` to ``right`` (one row per key) without a hot task.
 
-    ``weight`` is a column of ``right``: how many rows of ``left`` have its key. Keys above
-    ``HOT_SHARE`` of ``total`` are at most ``1 / HOT_SHARE`` many, a proven bound, so those rows
-    of ``right`` are broadcast; rows that they answer leave the shuffled join by a key of their
-    own, made of ``spread``.
+    ``weight`` is a column of ``right``: how many rows of ``left`` have its key. The ``HOT_KEYS``
+    heaviest rows of ``right`` are broadcast, a proven bound; rows of ``left`` that they answer
+    go through the shuffled join with a key of their own, made of ``spread``. The keys that are
+    left hold under 1 / HOT_KEYS of the rows each.
     """
     values = [c for c in right.columns if c not in keys]
-    is_hot = F.col(weight) > F.lit(max(1.0, total * HOT_SHARE))
+    top = right.orderBy(F.desc(weight), *keys).limit(HOT_KEYS)
     number = F.xxhash64(*keys)
-    hot = right.filter(is_hot).select(
+    hot = top.select(
         number.alias("_hash_hot"), *[F.col(k).alias(f"_hot_{k}") for k in keys], F.struct(*values).alias("_hot")
     )
-    cold = right.filter(~is_hot).select(
+    cold = right.select(
         number.alias("_hash_cold"), *[F.col(k).alias(f"_cold_{k}") for k in keys], F.struct(*values).alias("_cold")
     )
     # one long as the only join key keeps hashed tables small; the bounds compare the keys themselves

@@ -178,7 +178,7 @@ def write_warc(
     ).withColumn("sha", F.sha2("payload", 256))
     keys = written(base.select("page_id", "sha", F.length("payload").alias("n_bytes")).distinct(), "warc-keys")
     groups = keys.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("owner"))
-    plan = lookup(keys, groups, ["sha"], "n", keys.count(), F.col("page_id"))
+    plan = lookup(keys, groups, ["sha"], "n", F.col("page_id"))
     again = (F.col("n_bytes") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("owner"))
     plan = plan.select(
         F.col("page_id").alias("plan_id"),

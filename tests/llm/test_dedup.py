@@ -231,7 +231,7 @@ def test_components(spark):
 def test_lookup(spark):
     left = spark.createDataFrame([("a", i, None) for i in range(3000)] + [(str(i), i, None) for i in range(50)] + [(None, 1, None)], "key string, x long, hot int")
     right = left.groupBy("key").count().withColumnRenamed("count", "n").filter("key is not null and key <> '7'")
-    got = lookup(left, right, ["key"], "n", left.count(), left["x"])
+    got = lookup(left, right, ["key"], "n", left["x"])
     assert got.columns == ["key", "x", "hot", "n"] and got.count() == left.count()
     assert {(r.key, r.n) for r in got.collect()} == {("a", 3000), (None, None), ("7", None)} | {(str(i), 1) for i in range(50) if i != 7}
 

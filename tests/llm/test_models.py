@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import langid, ordinal
 from tessella.llm.queries import op1_quality, op4_language_id
@@ -42,7 +43,7 @@ def test_gradient():
 def test_quality_on_held_out_rows(spark):
     """Ratings that the fit hasn't seen: poor documents go, clean ones stay."""
     docs = load(spark, SF, "documents")
-    rated = load(spark, SF, "labels").withColumn("grade", ordinal.grade_of(load(spark, SF, "labels")["quality"], load(spark, SF, "labels")["toxic"]))
+    rated = load(spark, SF, "labels").withColumn("grade", ordinal.grade_of(F.col("quality"), F.col("toxic")))
     seen = rated.filter("doc_id % 3 <> 0").select("doc_id", "grade")
     model = ordinal.train(docs, seen)
     kept = ordinal.score(docs, model).join(rated.filter("doc_id % 3 = 0"), "doc_id").groupBy("grade").avg("tail_prob").collect()
