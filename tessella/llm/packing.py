@@ -33,13 +33,13 @@ from .bpe import WORDS, ByteBpe, codec
 LENGTH = 2048
 END_ID = 1
 SENTENCE_PENALTY = 2
-FORCED_PENALTY = 64
+FORCED_PENALTY = 16
 #: Cost of a sequence of its own, so that small powers of two don't win by being free of padding.
 WINDOW_COST = 64
 #: Sentence ends closer than this to the cut point before are no cut points.
-SPACING = 16
+SPACING = 1
 #: Longest run of tokens without a cut point.
-FORCED_GAP = 512
+FORCED_GAP = 128
 BLOCK_TOKENS = 1 << 20
 #: Windows at a block's end that are planned again.
 HELD_BACK = 4
@@ -179,7 +179,9 @@ class Packer:
         at, penalty = cut_points(ends, self.encode.ends_sentence[ids], gap=min(FORCED_GAP, self.length))
         cuts = best_cuts(at, penalty, self.length)
         if not last:
-            cuts = cuts[: max(1, len(cuts) - HELD_BACK)]
+            cuts = cuts[:-HELD_BACK]
+            if not cuts:
+                return []
         stops = at[cuts]
         done = int(stops[-1])
         starts = np.union1d(np.concatenate([[0], stops]), ends - sizes)
@@ -211,6 +213,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(parts):
         packer = Packer(_encoder(path), TaskContext.get().partitionId() << 32)
+        enough = max(block, 4 * HELD_BACK * LENGTH)
         id_type = None
 
         def rows(last):
@@ -224,7 +227,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             id_type = part.schema.field(0).type
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 packer.add(doc_id, text or "")
-                if packer.tokens >= block:
+                if packer.tokens >= enough:
                     yield from rows(False)
         yield from rows(True)
 
