@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import formulas, grammar, hunks, sexp, spans
-from ..operators import alignment, graphs, metadata, records, sampling, sequences
+from ..functions import formulas, grammar, hunks, options, sexp, spans
+from ..operators import alignment, graphs, metadata, records, repairs, sampling, sequences
+from ..operators import goals as goal_states
 from ..operators import snapshots as P
 from ..sources.tables import load
 from .registry import query
@@ -276,3 +277,84 @@ def metadata_update(spark: SparkSession, d: str) -> DataFrame:
     store = base.withColumns(key).select(*metadata.KEY, "v")
     changes = store.filter("cast(project_name as int) % 2 = 1").withColumn("v", F.lit(-1.0))
     return metadata.update(store, changes, ["v"]).select("project_name", "v")
+
+
+_COMMANDS = """WITH b AS (SELECT o_custkey AS pair, o_orderpriority AS file, o_orderkey % 13 AS idx, min(o_orderstatus) AS text, min(o_totalprice)::VARCHAR AS proof FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL),
+    a AS (SELECT o_custkey AS pair, o_orderpriority AS file, o_orderkey % 13 AS idx, min(o_orderstatus) AS text, min(o_totalprice)::VARCHAR AS proof FROM orders WHERE o_orderkey % 2 = 1 GROUP BY ALL),
+    d AS (SELECT pair, file, idx, CASE WHEN b.text IS NULL THEN 'added' WHEN a.text IS NULL THEN 'dropped' WHEN a.text <> b.text THEN 'changed' WHEN a.proof <> b.proof THEN 'affected' ELSE 'unchanged' END AS kind,
+      b.text AS before_text, a.text AS after_text FROM b FULL JOIN a USING (pair, file, idx))"""
+
+
+def _commands(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    orders = load(spark, d, "orders")
+
+    def side(k: int) -> DataFrame:
+        some = orders.filter(F.col("o_orderkey") % 2 == k)
+        key = [F.col("o_custkey").alias("pair"), F.col("o_orderpriority").alias("file"), (F.col("o_orderkey") % 13).alias("idx")]
+        return some.groupBy(*key).agg(F.min("o_orderstatus").alias("text"), F.min("o_totalprice").cast("string").alias("proof"))
+
+    return side(0), side(1)
+
+
+@query(
+    f"""{_COMMANDS} SELECT pair, count(*) FILTER (kind = 'added') AS n_added, count(*) FILTER (kind = 'changed') - 1 AS n_changed, count(*) FILTER (kind = 'dropped') AS n_dropped,
+    count(*) FILTER (kind = 'changed') AS n_sets FROM d GROUP BY pair HAVING count(*) FILTER (kind = 'changed') > 0"""
+)
+def changesets(spark: SparkSession, d: str) -> DataFrame:
+    sets = repairs.changesets(repairs.changes(*_commands(spark, d)))
+    sizes = [F.max(F.size(k)).cast("long").alias(f"n_{k}") for k in ("added", "changed", "dropped")]
+    return sets.groupBy("pair").agg(*sizes, F.count(F.lit(1)).alias("n_sets"))
+
+
+@query(
+    f"""{_COMMANDS}, s AS (SELECT pair, file AS b_file, idx AS b_idx, before_text AS old FROM d WHERE kind = 'changed')
+    SELECT s.pair, s.b_file, s.b_idx, d.file, d.idx, CASE WHEN d.file = s.b_file AND d.idx = s.b_idx THEN s.old ELSE d.after_text END AS text,
+    d.file = s.b_file AND d.idx = s.b_idx AS broken FROM s JOIN d ON d.pair = s.pair WHERE d.kind <> 'dropped'"""
+)
+def broken_states(spark: SparkSession, d: str) -> DataFrame:
+    before, after = _commands(spark, d)
+    diff = repairs.changes(before, after)
+    return repairs.broken_states(before, diff, repairs.changesets(diff)).drop("proof")
+
+
+@query(
+    f"""{_COMMANDS} SELECT pair, file, idx, before_text AS broken_text, after_text AS repaired_text FROM d WHERE kind = 'changed'"""
+)
+def mined_repairs(spark: SparkSession, d: str) -> DataFrame:
+    found = repairs.filtered(repairs.repairs(*_commands(spark, d)), ["repair:specification"])
+    return found.select("pair", "file", "idx", "broken_text", "repaired_text")
+
+
+@query(
+    """WITH t(coq, serapi) AS (VALUES ('8.9.1', '8.9.0+0.6.1'), ('8.10.2', '8.10.0+0.7.0'), ('8.10.2', '8.10.0+0.7.2'), ('8.10.2', '8.10.0+0.7.10')) SELECT coq, CASE coq WHEN '8.9.1' THEN '8.9.0+0.6.1' ELSE '8.10.0+0.7.10' END AS serapi FROM t GROUP BY coq"""
+)
+def latest_compatible(spark: SparkSession, d: str) -> DataFrame:
+    table = spark.sql(
+        "SELECT * FROM VALUES ('8.9.1', '8.9.0+0.6.1'), ('8.10.2', '8.10.0+0.7.0'), ('8.10.2', '8.10.0+0.7.2'), ('8.10.2', '8.10.0+0.7.10') AS t(coq, serapi)"
+    )
+    return options.latest_compatible(table, "serapi")
+
+
+@query(
+    """SELECT p_partkey, 'lib/' || p_size AS dir, p_brand || '.' || p_partkey AS name FROM part"""
+)
+def load_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Directories and logical names by load-path flags."""
+    size = F.col("p_size").cast("string")
+    args = F.array(F.lit("-R"), F.concat(F.lit("lib/"), size), F.col("p_brand"), F.lit("-I"), F.lit("ml"))
+    file = F.concat(F.lit("lib/"), size, F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".v"))
+    path = options.load_path(args)
+    return load(spark, d, "part").select("p_partkey", path["R"][0]["dir"].alias("dir"), options.logical_name(path, file).alias("name"))
+
+
+@query(
+    """SELECT conv_id, turn, turn + 1 AS n_foreground, 1 AS n_shelved, turn + 2 AS n_goals FROM conversations"""
+)
+def carried_goals(spark: SparkSession, d: str) -> DataFrame:
+    """States of a proof with one goal more per step, compressed to diffs, carried forward and counted."""
+    numbers = F.transform(F.sequence(F.lit(0), F.col("turn")), lambda i: F.concat(F.lit('"g'), i.cast("string"), F.lit('"')))
+    state = F.concat(F.lit('{"foreground": ['), F.array_join(numbers, ","), F.lit('], "background": [], "shelved": ["s"], "abandoned": []}'))
+    turns = load(spark, d, "conversations").select("conv_id", "turn", state.alias("goals"))
+    small = goal_states.compressed(turns, ["conv_id"], ["turn"])
+    full = goal_states.facts(goal_states.carried(small, ["conv_id"], ["turn"]))
+    return full.select("conv_id", "turn", *[F.col(c).cast("long").alias(c) for c in ("n_foreground", "n_shelved", "n_goals")])
