@@ -5,16 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _store(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration; the session's checkpoint folder is used where set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-graph-")
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint()
+from .sequences import numbered
+from .storage import stored
 
 
 def levels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
@@ -26,18 +18,18 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 1
     every = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
     if nodes is not None:
         every = every.union(nodes.select("node"))
-    left = _store(every.distinct())
+    left = stored(every.distinct())
     todo, out, level = edges, None, 0
     n = left.count()
     while n:
         ready = left.join(todo.select(F.col("dst").alias("node")), "node", "left_anti")
-        ready = _store(ready.withColumn("level", F.lit(level)))
+        ready = stored(ready.withColumn("level", F.lit(level)))
         k = ready.count()
         if not k or level > max_rounds:
             raise ValueError("the graph has a cycle")
         out = ready if out is None else out.unionByName(ready)
-        left = _store(left.join(ready.select("node"), "node", "left_anti"))
-        todo = _store(todo.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
+        left = stored(left.join(ready.select("node"), "node", "left_anti"))
+        todo = stored(todo.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
         n, level = n - k, level + 1
     return out if out is not None else left.withColumn("level", F.lit(0))
 
@@ -45,15 +37,7 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 1
 def topological(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, level, place): an order in which edges run forward; names decide within a level."""
     found = levels(edges, nodes)
-    # ranks within levels, moved by the sizes of the levels before
-    from pyspark.sql import Window
-
-    within = F.row_number().over(Window.partitionBy("level").orderBy("node"))
-    sizes = found.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return found.withColumn("_w", within).join(before.select("level", "before"), "level").select(
-        "node", "level", (F.col("before") + F.col("_w") - 1).cast("long").alias("place")
-    )
+    return numbered(found, ["level", "node"], "place").select("node", "level", "place")
 
 
 def order_violations(order: DataFrame, edges: DataFrame) -> DataFrame:
@@ -70,13 +54,13 @@ def connected(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     rounds grows with the logarithm of a component's diameter.
     """
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    both = _store(both.union(both.select("b", "a")).distinct())
-    label = _store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
+    both = stored(both.union(both.select("b", "a")).distinct())
+    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
     for _ in range(max_rounds):
         near = both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
         new = label.join(near, "node").select("node", F.least("label", "seen").alias("label"))
         jump = new.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = _store(new.join(jump, "label").select("node", F.least("label", "further").alias("label")))
+        new = stored(new.join(jump, "label").select("node", F.least("label", "further").alias("label")))
         changed = new.alias("n").join(label.alias("o"), "node").filter("n.label <> o.label")
         label, done = new, changed.isEmpty()
         if done:

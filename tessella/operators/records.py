@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import version_to_path
+from .sequences import numbered
 
 #: Natural key of a record.
 KEY = [
@@ -41,23 +42,17 @@ def file_name(index: Column) -> Column:
 def insert(index: DataFrame, new: DataFrame) -> DataFrame:
     """The index with those new records that it lacks; ids and file names go on from what is there.
 
-    Ids are ranks over the order of the key, offset by the greatest id; names count within a
+    Ids are places in the order of the key, offset by the greatest id; names count within a
     commit pair. Records that repeat a key, in the index or among the new ones, are left out.
     """
     fresh = new.select(*KEY).dropDuplicates(KEY).join(index.select(*KEY), KEY, "left_anti")
     top = index.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     used = index.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("used"))
-    order = [F.col(k) for k in KEY]
-    # ranks within pairs, moved by the number of new records of the pairs before
-    ranked = fresh.withColumn("_n", F.row_number().over(Window.partitionBy(*PAIR).orderBy(*order)))
-    sizes = fresh.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("_size"))
-    sizes = sizes.withColumn(
-        "_before",
-        F.coalesce(F.sum("_size").over(Window.orderBy(*PAIR).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    )
-    out = ranked.join(sizes, PAIR).join(used, PAIR, "left").crossJoin(F.broadcast(top))  # top is one row
-    out = out.withColumn("id", F.col("top") + F.col("_before") + F.col("_n"))
-    out = out.withColumn("file_name", file_name(F.coalesce("used", F.lit(0)) + F.col("_n") - 1))
+    placed = numbered(fresh, KEY, "_place", start=1)
+    within = F.row_number().over(Window.partitionBy(*PAIR).orderBy("_place")) - 1
+    out = placed.withColumn("_n", within).join(used, PAIR, "left").crossJoin(F.broadcast(top))  # top is one row
+    out = out.withColumn("id", F.col("top") + F.col("_place"))
+    out = out.withColumn("file_name", file_name(F.coalesce("used", F.lit(0)) + F.col("_n")))
     return index.select("id", *KEY, "file_name").unionByName(out.select("id", *KEY, "file_name"))
 
 
@@ -68,7 +63,7 @@ def merge(parts: list[DataFrame]) -> DataFrame:
     first = both.groupBy(*KEY).agg(F.min(F.struct("_part", "id")).alias("_at"))
     pair = Window.partitionBy(*PAIR).orderBy("_at")
     named = first.withColumn("_n", F.row_number().over(pair) - 1).withColumn("file_name", file_name(F.col("_n")))
-    return named.withColumn("id", F.row_number().over(Window.orderBy("_at")).cast("long")).select("id", *KEY, "file_name")
+    return numbered(named, ["_at"], "id", start=1).select("id", *KEY, "file_name")
 
 
 def by_pair(index: DataFrame, **values: str) -> DataFrame:

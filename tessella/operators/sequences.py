@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 Cols = list[str]
 
 
@@ -69,6 +71,22 @@ def ranked(df: DataFrame, by: Cols, order: Cols, name: str = "rank") -> DataFram
     return df.withColumn(name, F.row_number().over(_over(by, order)) - 1)
 
 
+def numbered(df: DataFrame, order: list, name: str, start: int = 0) -> DataFrame:
+    """Place in the order of the whole table, without sorting it in one task.
+
+    Rows are dealt into ranges of the order and stored, so that both passes see the same ranges;
+    places within a range are moved by the number of rows in the ranges before, of which there
+    are as many as partitions.
+    """
+    dealt = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    both = dealt.withColumn("_n", within).join(F.broadcast(sizes), "_range")
+    return both.withColumn(name, (F.col("_before") + F.col("_n") + (start - 1)).cast("long")).drop("_range", "_before", "_n")
+
+
 def first_of(df: DataFrame, key: Cols, order: Cols) -> DataFrame:
     """One row per key, the first in order."""
     return df.withColumn("_n", F.row_number().over(_over(key, order))).filter("_n = 1").drop("_n")

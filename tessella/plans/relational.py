@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -310,7 +310,8 @@ def _versions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT v, row_number() OVER (ORDER BY x, y, z) AS place FROM {_VERSIONS}")
 def version_key_sort(spark: SparkSession, d: str) -> DataFrame:
-    return _versions(spark, d).withColumn("place", F.row_number().over(Window.orderBy(V.version_key(F.col("v")))).cast("long"))
+    keyed = _versions(spark, d).withColumn("key", V.version_key(F.col("v")))
+    return S.numbered(keyed, ["key"], "place", start=1).drop("key")
 
 
 @query(f"SELECT x::VARCHAR AS major, arg_max(v, (y, z)) AS v FROM {_VERSIONS} GROUP BY x")
