@@ -68,7 +68,7 @@ def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dartminhash.near_duplicates(load(spark, sf_dir, "documents"))
+    return dartminhash.near_duplicates(load(spark, sf_dir, "documents")).drop("class_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
