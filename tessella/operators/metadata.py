@@ -23,20 +23,24 @@ def level(prefix: str = "") -> Column:
 def fallback(probes: DataFrame, records: DataFrame, fields: list[str], inclusive: bool = True) -> DataFrame:
     """Fields of each probe, inherited from the most specific records that match.
 
-    ``inclusive=False`` leaves out the record of exactly the probe's context: its defaults.
+    A probe asks once per level for the record that sets just the level's fields, so the join has
+    equal keys throughout, however many records a project has. ``inclusive=False`` leaves out the
+    record of exactly the probe's context: its defaults.
     """
     r = records.select(*[F.col(k).alias(f"r_{k}") for k in KEY], *[F.col(f).alias(f"r_{f}") for f in fields])
     p = probes.select(*KEY).distinct()
-    match = p["project_name"] == r["r_project_name"]
-    for k in LEVELS:
-        match = match & (r[f"r_{k}"].isNull() | (r[f"r_{k}"] == p[k]))
+    full = level()
+    asked = p.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(sum(LEVELS.values())))))
+    # a level that takes in a null field says no more than the one without it
+    asked = asked.filter(F.col("_level").bitwiseAND(full) == F.col("_level"))
     if not inclusive:
-        same = reduce(lambda a, b: a & b, [r[f"r_{k}"].eqNullSafe(p[k]) for k in KEY])
-        match = match & ~same
-    rank = level("r_")
-    values = [F.max_by(f"r_{f}", F.when(F.col(f"r_{f}").isNotNull(), rank)).alias(f) for f in fields]
-    origins = [F.max(F.when(F.col(f"r_{f}").isNotNull(), rank)).alias(f"{f}_level") for f in fields]
-    return p.join(r, match).groupBy(*KEY).agg(*values, *origins)
+        asked = asked.filter(F.col("_level") != full)
+    for k, bit in LEVELS.items():
+        asked = asked.withColumn(f"_{k}", F.when(F.col("_level").bitwiseAND(bit) != 0, F.col(k)))
+    match = [F.col("project_name") == F.col("r_project_name"), *[F.col(f"_{k}").eqNullSafe(F.col(f"r_{k}")) for k in LEVELS]]
+    values = [F.max_by(f"r_{f}", F.when(F.col(f"r_{f}").isNotNull(), F.col("_level"))).alias(f) for f in fields]
+    origins = [F.max(F.when(F.col(f"r_{f}").isNotNull(), F.col("_level"))).alias(f"{f}_level") for f in fields]
+    return asked.join(r, match).groupBy(*KEY).agg(*values, *origins)
 
 
 def with_defaults(found: DataFrame, defaults: dict[str, Column]) -> DataFrame:
