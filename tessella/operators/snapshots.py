@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -138,12 +138,23 @@ def repair_tags(command_changed: Column, proof_changed: Column, error_tags: Colu
     )
 
 
-def nearest(left: DataFrame, right: DataFrame, on: list[str], distance: Column, key: str) -> DataFrame:
-    """For each left row the right row of least distance within equal keys; ties go to the lesser key.
+def nearest(left: DataFrame, right: DataFrame, on: list[str], l_value: str, r_value: str, key: str) -> DataFrame:
+    """For each left row the right row of nearest value within equal keys; ties go to the lesser ``key``.
 
-    The right side's columns must not clash with the left's but for ``on``.
+    Both sides are sorted together once and each left row looks at its right neighbours on either
+    side, so the work grows with the rows, not with their product. Left rows without a partner
+    are left out.
     """
-    extra = [c for c in right.columns if c not in on]
-    both = left.join(right, on)
-    best = F.min_by(F.struct(*extra), F.struct(distance.alias("d"), F.col(key)))
-    return both.groupBy(*left.columns).agg(best.alias("r")).select(*left.columns, *[F.col("r")[c].alias(c) for c in extra])
+    best = right.groupBy(*on, F.col(r_value).alias("_v")).agg(F.min(key).alias("_k"))
+    a = left.select(*on, F.col(l_value).alias("_v"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(dict(best.dtypes)["_k"]).alias("_k"))
+    b = best.select(*on, "_v", F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), "_k")
+    both = a.unionByName(b).withColumn("_r", F.when(F.col("_k").isNotNull(), F.struct("_v", "_k")))
+    order = Window.partitionBy(*on).orderBy("_v")
+    near = F.array(
+        F.last("_r", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0)),
+        F.first("_r", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing)),
+    )
+    found = both.withColumn("_near", F.array_compact(near)).filter(F.col("_l").isNotNull() & (F.size("_near") > 0))
+    ranked = F.transform("_near", lambda r: F.struct(F.abs(r["_v"] - F.col("_v")).alias("d"), r["_k"].alias("k"), r["_v"].alias("v")))
+    chosen = F.array_min(ranked)
+    return found.select("_l.*", chosen["k"].alias(key), chosen["v"].alias(r_value))

@@ -161,7 +161,7 @@ def fallback_lookup(spark: SparkSession, d: str) -> DataFrame:
 def nearest_match(spark: SparkSession, d: str) -> DataFrame:
     left = load(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
     right = load(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
-    return P.nearest(left, right, ["nation"], F.abs(F.col("c_acctbal") - F.col("s_acctbal")), "s_suppkey").select("c_custkey", "s_suppkey")
+    return P.nearest(left, right, ["nation"], "c_acctbal", "s_acctbal", "s_suppkey").select("c_custkey", "s_suppkey")
 
 
 def _bought(year: int) -> str:
