@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import dartminhash, exacthash, ordinal, packing, suffixlevels
 from tessella.llm.queries import quality_model, vocabulary
-from tessella.llm.shared import written
+from tessella.llm.shared import drop_folder, mark, new_folder, release, written
 from tessella.sources.tables import importable, load
 
 
@@ -62,7 +62,12 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, over the whole documents table."""
-    docs = load(spark, sf_dir, "documents")
+    docs, last = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+        since, at = mark(), new_folder(spark, "stage-" + name.split()[0].lower())
+        docs = written(stage(spark, docs, sf_dir), name, at)
+        release(spark, since, keep=at)
+        if last:
+            drop_folder(spark, last)
+        last = at
     return docs

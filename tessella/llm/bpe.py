@@ -25,10 +25,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import filesystem
+from .shared import filesystem, pieces
 
 SHORT = 64
 CACHE_WORDS = 500_000
+BATCH_BYTES = 8 << 20
 #: Fixed value: the pattern that splits text into words before merges.
 WORDS = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -199,7 +200,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(parts):
         own = codec(path)
-        for part in parts:
+        for part in (p for whole in parts for p in pieces(whole, BATCH_BYTES)):
             counts, hashes, texts = [], [], []
             for text in part.column(1).to_pylist():
                 ids = own.encode(text or "")

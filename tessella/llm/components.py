@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lookup, written
+from .shared import drop_folder, lookup, new_folder, written
 
 MAX_ROUNDS = 50
 
@@ -41,14 +41,18 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with a link; the component is its least node."""
     links = links.filter(F.col(a) != F.col(b))
-    links = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
+    spark = links.sparkSession
+    at = new_folder(spark, "links")
+    links = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links", at)
     state = _state(links)
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        stars = written(_large_star(links), "links")
-        links = written(_small_star(stars), "links")
-        now = _state(links)
+        half, new = new_folder(spark, "links"), new_folder(spark, "links")
+        links = written(_small_star(written(_large_star(links), "links", half)), "links", new)
+        drop_folder(spark, at)
+        drop_folder(spark, half)
+        at, now = new, _state(links)
         if now == state:
             break
         state = now

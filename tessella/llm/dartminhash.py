@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import ROW_BITS, lookup, new_folder, read_batch, spill_batches, written
+from .shared import ROW_BITS, lookup, new_folder, read_batch, spill_batches, tidy, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -45,8 +45,8 @@ COORDINATES = BANDS * ROWS
 STAR_ROUNDS = 3
 #: Members, and cells of members, of a block.
 BLOCK, BLOCK_CELLS = 2048, 1 << 21
-BATCH_BYTES = 8 << 20
-CHUNK = 2 << 20
+BATCH_BYTES = 4 << 20
+CHUNK = 1 << 19
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -221,6 +221,7 @@ def _sets(folder: str, text_col: str, short: bool = False):
             if short:
                 cell = (cell >> _U(32)).astype(np.uint32)
             found += [np.sort(cell[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        tidy()
         return pa.table({"uid": pa.array(uid), "cells": pa.array(found, pa.binary())})
 
     return run
@@ -246,6 +247,7 @@ def _verify(folder: str, text_col: str, least: float):
                 if similarity(other, own[uid]) >= least - 1e-12:
                     a.append(leader)
                     b.append(uid)
+        tidy()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -319,6 +321,7 @@ def _block_links(least: float):
             if p != q:
                 parent[max(p, q)] = min(p, q)
                 out.append((int(uid[i]), int(uid2[j])))
+        tidy()
         return pa.table({"leader": pa.array([a for a, _ in out], pa.int64()), "member": pa.array([b for _, b in out], pa.int64())})
 
     return run

@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import pieces
+
 FILTER_BITS = 20
 HASHES = 3
 MIN_RATE = 2e-6
@@ -101,7 +103,7 @@ def count_grams(labelled: DataFrame, languages: list[str]) -> DataFrame:
 
     def run(parts):
         total = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        for part in parts:
+        for part in (p for whole in parts for p in pieces(whole, 4 * CHUNK)):
             names, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
             for data, spans in _chunks(texts):
                 codes, place = grams(data)
@@ -220,7 +222,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def run(parts):
         own = model.value
-        for part in parts:
+        for part in (p for whole in parts for p in pieces(whole, 4 * CHUNK)):
             names, scores = own.predict(part.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],

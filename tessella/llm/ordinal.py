@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import pieces, tidy
+
 SAMPLE = 10_000
 DIMENSION = 1 << 18
 STEPS = 120
@@ -38,10 +40,11 @@ SHRINK = 1e-5
 #: Documents stay if P(grade >= SELECT_GRADE) is at least SELECT_PROBABILITY.
 SELECT_GRADE = 2
 SELECT_PROBABILITY = 0.65
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Characters of text, and features of the sample, that are worked on at once.
-TEXT_CHUNK = 1 << 20
+TEXT_CHUNK = 1 << 19
 FIT_CHUNK = 1 << 19
+BATCH_BYTES = 8 << 20
 
 _LETTERS, _DIGITS = regex.compile(r"\p{L}+"), regex.compile(r"\p{N}+")
 
@@ -189,12 +192,14 @@ def train(
     texts = texts.filter(F.col("text").isNotNull()).join(F.broadcast(rated), "doc_id")
 
     def run(parts):
-        for part in parts:
+        for part in (p for whole in parts for p in pieces(whole, BATCH_BYTES)):
             cells = []
             for some in text_chunks(part.column("text").to_pylist()):
                 slots, values, starts = features(some)
                 for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                    cells.append((slots[a:b].tobytes(), values[a:b].tobytes()))
+                    own, back = np.unique(slots[a:b], return_inverse=True)  # slots come once: half as much to collect
+                    sums = np.bincount(back, weights=values[a:b])
+                    cells.append((own.tobytes(), sums.astype(np.float32).tobytes()))
             yield pa.record_batch(
                 {
                     "doc_id": part.column("doc_id"),
@@ -206,15 +211,19 @@ def train(
 
     kind = dict(texts.dtypes)["doc_id"]
     made = texts.mapInArrow(run, f"doc_id {kind}, grade int, slots binary, values binary")
-    rows = sorted(made.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
-    if not rows:
+    rows = made.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    if not rows.num_rows:
         return CumulativeLink(None, np.zeros(n_grades - 1))
-    slots = np.frombuffer(b"".join(r["slots"] for r in rows), np.int32)
-    values = np.frombuffer(b"".join(r["values"] for r in rows), np.float32)
-    starts = np.concatenate([[0], np.cumsum([len(r["slots"]) // 4 for r in rows])])
-    grades = np.array([r["grade"] for r in rows])
+    slots = np.frombuffer(b"".join(x.as_buffer() for x in rows.column("slots")), np.int32)
+    values = np.frombuffer(b"".join(x.as_buffer() for x in rows.column("values")), np.float32)
+    starts = np.concatenate([[0], np.cumsum([len(x.as_buffer()) // 4 for x in rows.column("slots")])])
+    grades = rows.column("grade").to_numpy()
     del rows
-    return fit(slots, values, starts, grades, n_grades)
+    tidy()
+    model = fit(slots, values, starts, grades, n_grades)
+    del slots, values
+    tidy()
+    return model
 
 
 def score(docs: DataFrame, model: CumulativeLink, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,13 +233,14 @@ def score(docs: DataFrame, model: CumulativeLink, id_col: str = "doc_id", text_c
 
     def run(parts):
         own = shared.value
-        for part in parts:
+        for part in (p for whole in parts for p in pieces(whole, BATCH_BYTES)):
             tails = own.score(part.column(1).to_pylist())
             tail = tails[:, SELECT_GRADE - 1]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(tails.sum(axis=1)), pa.array(tail), pa.array(tail >= SELECT_PROBABILITY)],
                 names=["doc_id", "expected_grade", "tail_prob", "kept"],
             )
+        tidy()
 
     kind = dict(base.dtypes)["doc_id"]
     return base.mapInArrow(run, f"doc_id {kind}, expected_grade double, tail_prob double, kept boolean")
@@ -243,8 +253,9 @@ def select(docs: DataFrame, model: CumulativeLink, text_col: str = "text") -> Da
 
     def run(parts):
         own = shared.value
-        for part in parts:
+        for part in (p for whole in parts for p in pieces(whole, BATCH_BYTES)):
             tails = own.score(part.column(place).to_pylist())
             yield part.filter(pa.array(tails[:, SELECT_GRADE - 1] >= SELECT_PROBABILITY))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)

@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import WORDS, ByteBpe, codec
+from .shared import pieces, tidy
 
 LENGTH = 2048
 END_ID = 1
@@ -40,7 +41,9 @@ WINDOW_COST = 64
 SPACING = 1
 #: Longest run of tokens without a cut point.
 FORCED_GAP = 128
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 18
+#: Bytes of texts that are taken from Arrow at once.
+BATCH_BYTES = 8 << 20
 #: Windows at a block's end that are planned again.
 HELD_BACK = 4
 
@@ -223,12 +226,13 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 columns = [pa.array(cells[0], id_type), *(pa.array(c, pa.int64()) for c in cells[1:])]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))])
 
-        for part in parts:
+        for part in (p for whole in parts for p in pieces(whole, BATCH_BYTES)):
             id_type = part.schema.field(0).type
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 packer.add(doc_id, text or "")
                 if packer.tokens >= enough:
                     yield from rows(False)
         yield from rows(True)
+        tidy()
 
     return base.mapInArrow(run, f"doc_id {kind}, {SCHEMA}")

@@ -7,6 +7,7 @@ them with ``pyarrow.fs``, which reads local, HDFS and object-store URIs alike.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -26,32 +27,53 @@ ROW_BITS = 24
 TASK_BATCHES = 1 << 14
 
 
+_own_root: list[str] = []
+_made: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
-    """URI of the folder all executors share; set to a temporary folder only where unset (tests)."""
+    """URI of the folder all executors share; a temporary folder only where none is set (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessella-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own_root:
+            _own_root.append(tempfile.mkdtemp(prefix="tessella-shared-"))
+        root = _own_root[0]
     return ("file://" + root if root.startswith("/") else root).rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """URI of a fresh, unique folder below the shared one."""
-    return f"{shared_root(spark)}/tessella-{name}-{uuid.uuid4().hex[:12]}"
+    uri = f"{shared_root(spark)}/tessella-{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(uri)
+    return uri
 
 
 def drop_folder(spark: SparkSession, uri: str) -> None:
     """Delete a folder made by ``new_folder``."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if uri in _made:
+        _made.remove(uri)
+
+
+def mark() -> int:
+    """Where ``release`` may begin."""
+    return len(_made)
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+def release(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Delete the folders made since a mark; call it once what was read from them has been written."""
+    for uri in [u for u in _made[since:] if u != keep]:
+        drop_folder(spark, uri)
+
+
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back."""
     spark = df.sparkSession
-    uri = new_folder(spark, name)
-    df.write.options(**options).parquet(uri)
+    uri = folder or new_folder(spark, name)
+    df.write.parquet(uri)
     return spark.read.schema(df.schema).parquet(uri)
 
 
@@ -115,14 +137,13 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def rows_of(columns: list[str], schema: pa.Schema | None = None) -> Callable[[list], pa.RecordBatch]:
-    """Builder of record batches from row tuples."""
-
-    def build(rows: list) -> pa.RecordBatch:
-        cells = list(zip(*rows, strict=True)) if rows else [[] for _ in columns]
-        return pa.record_batch([pa.array(c, f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
-
-    return build
+def tidy() -> None:
+    """Give freed memory back at the end of a task: workers live on and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def batch_path(folder: str, number: int) -> str:
@@ -154,7 +175,7 @@ def spill_batches(folder: str, size: int, use: Callable[[pa.Table, int], Iterato
             yield from use(table, number)
 
         for part in parts:
-            for piece in _pieces(part, size):
+            for piece in pieces(part, size):
                 if held and (used + piece.nbytes > size or rows + piece.num_rows >= 1 << ROW_BITS):
                     yield from flush()
                 held.append(piece)
@@ -162,11 +183,12 @@ def spill_batches(folder: str, size: int, use: Callable[[pa.Table, int], Iterato
                 rows += piece.num_rows
         if held:
             yield from flush()
+        tidy()
 
     return run
 
 
-def _pieces(part: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+def pieces(part: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     """Slices of a record batch of about ``size`` bytes, one row at least."""
     if part.num_rows == 0:
         return

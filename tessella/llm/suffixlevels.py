@@ -34,12 +34,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import new_folder, read_batch, spill_batches, written
+from .shared import new_folder, read_batch, spill_batches, tidy, written
 
 MATCH = 200
 HEAD = 100
-BATCH_BYTES = 8 << 20
-CHUNK = 1 << 20
+BATCH_BYTES = 4 << 20
+CHUNK = 1 << 18
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -268,6 +268,7 @@ def _own(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         at += len(own)
         if len(found):
             rows.append((kind, batches[i], found.astype(np.uint32).tobytes()))
+    tidy()
     return _answers(rows)
 
 
@@ -319,6 +320,7 @@ def _send_windows(folder: str, text: str, match: int, head: int, ranges: int):
         if hashes:
             for r, keys, values in _deal(np.concatenate(hashes), np.concatenate(entries), ranges):
                 rows.append((WINDOWS, r, known.number, keys.tobytes(), values.tobytes()))
+        tidy()
         return _sent(rows)
 
     return run
@@ -334,7 +336,8 @@ def _covered(known: _Known, match: int) -> np.ndarray:
     windows = known.got[WINDOWS].astype(np.int64)
     np.add.at(depth, windows, 1)
     np.add.at(depth, windows + match, -1)
-    return np.cumsum(depth[:-1]) > 0
+    np.cumsum(depth, out=depth)
+    return depth[:-1] > 0
 
 
 def _spans(known: _Known, match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -345,9 +348,11 @@ def _spans(known: _Known, match: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     runs[1:] &= ~covered[:-1]
     inner = starts[(starts < ends)]
     runs[inner] = covered[inner]
-    sums = np.concatenate([[0], np.cumsum(covered)])
-    counts = np.concatenate([[0], np.cumsum(runs)])
-    return covered, sums[ends] - sums[starts], counts[ends] - counts[starts]
+    sums = np.zeros(len(covered) + 1, np.int32)
+    np.cumsum(covered, out=sums[1:])
+    removed = sums[ends] - sums[starts]
+    np.cumsum(runs, out=sums[1:])
+    return covered, removed, sums[ends] - sums[starts]
 
 
 def _find(docs: DataFrame, text: str, match: int, head: int, batch_bytes: int) -> tuple[str, DataFrame]:
@@ -424,6 +429,7 @@ def remove_repeats(
         for i in np.flatnonzero(removed).tolist():
             a, b = int(known.buffer.starts[i]), int(known.buffer.ends[i])
             old[i] = data[a:b][~covered[a:b]].tobytes().decode("utf-8", "ignore")
+        tidy()
         return known.rows.set_column(place, text, pa.array(old, pa.string()))
 
     return answers.groupBy("batch").applyInArrow(run, base.schema).toDF(*columns)
