@@ -47,6 +47,8 @@ class Sentence:
 
 def mask(text: str, fill: str = "\x00") -> str:
     """Text of the same length in which comments (nested) are blank and strings are filled; ``""`` is a quote in a string."""
+    if '"' not in text and "(*" not in text:
+        return text
     out, i, n, depth, quoted = [], 0, len(text), 0, False
     while i < n:
         two = text[i : i + 2]
