@@ -15,7 +15,7 @@ that each entry is merged O(log n) times. Three rounds make the result exact:
    to ``HEAD`` + 2 * (200 - ``HEAD``) bytes). An anchor whose context occurs twice is wholly
    covered. A head that occurs with different contexts may be part of a match in between.
 2. Windows. For those heads each different context sends the fingerprints of its windows, once
-   in all; windows that occur twice are covered.
+   in all (and equal windows once a batch); windows that occur twice are covered.
 3. Each batch takes the union of what is covered.
 
 Equal entries of a batch are sent once, so a passage that a third of all rows share costs each
@@ -222,7 +222,7 @@ class LevelFamily:
         return seen, owner
 
 
-HEADS, CONTEXTS, WINDOWS, BATCH = 0, 1, 2, 3
+HEADS, CONTEXTS, WINDOWS, BATCH, SETTLED = 0, 1, 2, 3, 4
 _SENT = "kind int, range long, batch long, keys binary, entries binary"
 _ANSWER = "kind int, batch long, entries binary"
 
@@ -251,6 +251,8 @@ def _own(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     batches = table.column("batch").to_pylist()
     if kind == BATCH:
         return _answers([(BATCH, b, b"") for b in batches])
+    if kind == SETTLED:
+        return _answers([(WINDOWS, b, e) for b, e in zip(batches, table.column("entries").to_pylist(), strict=True)])
     order = np.argsort(np.array(batches), kind="stable").tolist()
     family, entries = LevelFamily(), []
     keys, values = table.column("keys"), table.column("entries")
@@ -318,7 +320,17 @@ def _send_windows(folder: str, text: str, match: int, head: int, ranges: int):
                     entries.append(start.astype(np.uint32) | np.where(wants[at][of[use]], np.uint32(0), _FLAG))
         rows = []
         if hashes:
-            for r, keys, values in _deal(np.concatenate(hashes), np.concatenate(entries), ranges):
+            hashed, entry = np.concatenate(hashes), np.concatenate(entries)
+            order = np.argsort(hashed, kind="stable")
+            hashed, entry = hashed[order], entry[order]
+            new = np.concatenate([[True], hashed[1:] != hashed[:-1]])
+            again = (np.bincount(np.cumsum(new) - 1) > 1)[np.cumsum(new) - 1]
+            # windows that repeat within the batch are settled here; one of them goes out for the others' sake
+            here = entry[again & (entry & _FLAG == 0)]
+            if len(here):
+                rows.append((SETTLED, known.number, known.number, b"", here.tobytes()))
+            entry = np.where(again, entry | _FLAG, entry)
+            for r, keys, values in _deal(hashed[new], entry[new], ranges):
                 rows.append((WINDOWS, r, known.number, keys.tobytes(), values.tobytes()))
         tidy()
         return _sent(rows)
