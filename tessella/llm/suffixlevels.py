@@ -147,7 +147,9 @@ class Anchors:
             heads = context = np.zeros(0, np.uint64)
         once = np.concatenate([[True], place[1:] != place[:-1]]) if len(place) else np.zeros(0, bool)
         self.place, self.left, self.right = place[once], left[once], right[once]
-        heads, context = heads[once], _mix(heads[once] ^ (context[once] * _U(3)))
+        # anchors have the least hashes of their windows: mixed again, they spread over all ranges
+        heads = _mix(heads[once] ^ _U(_BASE))
+        context = _mix(heads ^ (context[once] * _U(3)))
         order = np.lexsort((context, heads))
         h, c = heads[order], context[order]
         new_h = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
