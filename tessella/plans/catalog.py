@@ -10,7 +10,7 @@ from .registry import ORACLES, QUERIES, Query
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adjacent turns of each conversation with the normalised edit distance of their texts."""
-    return relational.adjacent_similarity(spark, sf_dir)
+    return relational.adjacent_distance(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

@@ -33,6 +33,16 @@ def adjacent_similarity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query()
+def adjacent_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Edit distance, in code points, of the whole texts of all adjacent turns; null where a text is."""
+    pairs = S.consecutive(load(spark, d, "conversations"), ["conv_id"], ["turn"], ["text"])
+    distance = T.edit_distance(F.col("text"), F.col("next_text"))
+    tanimoto = T.norm_distance(F.col("distance"), F.length("text"), F.length("next_text"))
+    pairs = pairs.withColumn("distance", distance.cast("long"))
+    return pairs.select("conv_id", "turn", "distance", F.round(tanimoto, 9).alias("tanimoto"))
+
+
 _HALVES = """b AS (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
     a AS (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)"""
 _KIND = """CASE WHEN b.o_custkey IS NULL THEN 'added' WHEN a.o_custkey IS NULL THEN 'dropped' WHEN a.n <> b.n THEN 'changed'
