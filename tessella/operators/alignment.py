@@ -7,6 +7,7 @@ kernel; only aligned pairs come out.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import numpy as np
@@ -19,20 +20,34 @@ THRESHOLD = 0.4
 
 
 def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance in code points, a row of the matrix at a time."""
+    """Levenshtein distance in code points, a column of the matrix at a time.
+
+    Columns are bit vectors of where a cell is one more (``up``) or less (``down``) than the one above it.
+    """
+    start = len(os.path.commonprefix([a, b]))
+    a, b = a[start:], b[start:]
     if len(a) < len(b):
         a, b = b, a
     if not b:
         return len(a)
-    x = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    ramp = np.arange(len(b) + 1)
-    row = ramp.copy()
-    for i, c in enumerate(a, 1):
-        step = np.empty_like(row)
-        step[0] = i
-        step[1:] = np.minimum(row[1:] + 1, row[:-1] + (x != ord(c)))
-        row = np.minimum.accumulate(step - ramp) + ramp  # insertions, all at once
-    return int(row[-1])
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, distance = every, 0, len(a)
+    for c in b:
+        same = where.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        more, less = down | (every & ~(diagonal | up)), up & diagonal
+        if more & last:
+            distance += 1
+        elif less & last:
+            distance -= 1
+        more, less = more << 1 | 1, less << 1
+        vertical = same | down
+        up = every & (less | ~(vertical | more))
+        down = every & more & vertical
+    return distance
 
 
 def tanimoto(a: str, b: str) -> float:

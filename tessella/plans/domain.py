@@ -99,8 +99,8 @@ def guess_packages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _conversation_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Excerpts of a conversation's turns, and a later revision: some turns gone, the others shorter."""
-    turns = load(spark, d, "conversations").select("conv_id", "turn", F.left("text", F.lit(160)).alias("text"))
+    """A conversation's turns, and a later revision: some turns gone, the others shorter."""
+    turns = load(spark, d, "conversations").select("conv_id", "turn", "text")
     after = turns.filter("(conv_id + turn) % 5 <> 0").select("conv_id", "turn", F.left("text", F.length("text") - 6).alias("text"))
     return turns, after
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import random
+from collections import defaultdict
+from functools import lru_cache
+from itertools import permutations
+
 import pytest
 
 import __spark_entry__ as entry
@@ -40,3 +45,66 @@ def test_adjacent_distance(spark, tmp_path):
         want[i] = (levenshtein(a, b), pytest.approx(tanimoto(a, b), abs=1e-9)) if known else (None, None)
     assert got == want
     assert {r.turn: (r.distance, r.tanimoto) for r in catalog.flagship(spark, d).collect()} == want
+
+
+def revised(rows):
+    """What domain._conversation_pairs makes of turns."""
+    return [(c, t, x[: max(len(x) - 6, 0)]) for c, t, x in rows if (c + t) % 5 != 0]
+
+
+@pytest.fixture(scope="module")
+def turns(spark, tmp_path_factory):
+    rng = random.Random(5)
+    same = "an opening that many of the turns share, " * 5  # 205 characters
+    rows = []
+    for c in range(6):
+        for t in range(5):
+            tail = "".join(rng.choice("abcdé日 ") for _ in range(rng.randint(0, 250)))
+            rows.append((c, t, (same if rng.random() < 0.7 else "") + tail))
+    rows += [(9, 0, ""), (9, 2, "short"), (9, 3, same)]
+    return table(spark, tmp_path_factory.mktemp("turns"), "conversations", rows, CONVERSATIONS), rows
+
+
+def sides(rows):
+    for c in sorted({r[0] for r in rows}):
+        yield c, [x for k, _, x in rows if k == c], [x for k, _, x in revised(rows) if k == c]
+
+
+def test_assign_min_cost(spark, turns):
+    d, rows = turns
+    got = defaultdict(dict)
+    for r in entry.queries()["assign_min_cost"](spark, d).collect():
+        got[r.conv_id][r.a, r.b] = r.cost
+    for c, a, b in sides(rows):
+        assert len(b) <= len(a)
+        cost = [[min(tanimoto(x, y), 0.4) for y in b] for x in a]
+        best = min(sum(cost[i][j] for j, i in enumerate(p)) for p in permutations(range(len(a)), len(b)))
+        pairs = got[c]
+        assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+        assert pairs == {(i, j): pytest.approx(cost[i][j]) for i, j in pairs} and all(cost[i][j] < 0.4 for i, j in pairs)
+        assert sum(pairs.values()) + 0.4 * (len(b) - len(pairs)) == pytest.approx(best)
+
+
+def test_nw_align(spark, turns):
+    d, rows = turns
+    got = defaultdict(list)
+    for r in entry.queries()["nw_align"](spark, d).collect():
+        got[r.conv_id].append((r.a, r.b, r.cost))
+    for c, a, b in sides(rows):
+        cost = [[tanimoto(x, y) for y in b] for x in a]
+
+        @lru_cache(None)
+        def best(i, j, cost=cost, n=len(a), m=len(b)):
+            ways = [0.0] if i == n and j == m else []
+            ways += [0.1 + best(i + 1, j)] if i < n else []
+            ways += [0.1 + best(i, j + 1)] if j < m else []
+            ways += [cost[i][j] + best(i + 1, j + 1)] if i < n and j < m else []
+            return min(ways)
+
+        pairs = got[c]
+        assert sorted(i for i, _, _ in pairs if i is not None) == list(range(len(a)))
+        assert sorted(j for _, j, _ in pairs if j is not None) == list(range(len(b)))
+        both = [(i, j, x) for i, j, x in pairs if i is not None and j is not None]
+        assert sorted(both) == sorted(both, key=lambda p: p[1])  # in order
+        assert all(x == pytest.approx(cost[i][j]) for i, j, x in both)
+        assert sum(x for _, _, x in both) + 0.1 * (len(pairs) - len(both)) == pytest.approx(best(0, 0))
