@@ -30,6 +30,13 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return graphs.connected(_edges(spark, d))
 
 
+@query()
+def lineitem_components(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers and parts connected by any row of lineitem."""
+    name = [F.concat(F.lit(k), F.col(c).cast("string")).alias(n) for k, c, n in (("s", "l_suppkey", "src"), ("p", "l_partkey", "dst"))]
+    return graphs.connected(load(spark, d, "lineitem").select(*name).distinct())
+
+
 _TREE = """e AS (SELECT DISTINCT r_name AS src, n_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey
     UNION SELECT DISTINCT n_name, 'supplier ' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 

@@ -108,3 +108,24 @@ def test_nw_align(spark, turns):
         assert sorted(both) == sorted(both, key=lambda p: p[1])  # in order
         assert all(x == pytest.approx(cost[i][j]) for i, j, x in both)
         assert sum(x for _, _, x in both) + 0.1 * (len(pairs) - len(both)) == pytest.approx(best(0, 0))
+
+
+def test_lineitem_components(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(rng.randrange(40), rng.randrange(60), float(rng.randint(1, 50)), rng.randint(0, 10) / 100) for _ in range(45)]
+    rows += [(100, p, 1.0, 0.0) for p in range(200, 500)]  # a hot supplier
+    schema = "l_suppkey long, l_partkey long, l_quantity double, l_discount double"
+    d = table(spark, tmp_path, "lineitem", rows, schema)
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for s, p, _, _ in rows:
+        x, y = sorted((root(f"s{s}"), root(f"p{p}")))
+        parent[y] = x
+    got = {r.node: r.component for r in entry.queries()["lineitem_components"](spark, d).collect()}
+    assert got == {x: root(x) for x in list(parent)}
+    assert len(set(got.values())) > 3
