@@ -367,15 +367,16 @@ class _Search:
         )
         found = None
         for step in range(STAR_ROUNDS):
-            now = members.withColumn("component", F.col("uid")) if found is None else self._with_components(members, found)
+            now = self._with_components(members, found)
             mixed = self._leaders(now, step)
             pairs = lookup(now.drop("n"), mixed, ["band"], "n", F.col("uid"))
             pairs = pairs.filter(F.col("leader").isNotNull() & (F.col("component") != F.col("main")))
             pairs = pairs.filter(self._sizes_fit("weight", "leader_weight"))
             pairs = written(pairs.select("leader", F.col("uid").alias("member")).distinct(), "dart-pairs")
-            if pairs.isEmpty():
+            if not pairs.isEmpty():
+                found = self._confirmed(pairs, found)
+            elif mixed.isEmpty():
                 break
-            found = self._confirmed(pairs, found)
         else:
             rest = self._rest(self._with_components(members, found))
             if not rest.isEmpty():
@@ -385,7 +386,9 @@ class _Search:
     def _sizes_fit(self, a: str, b: str) -> Column:
         return F.least(a, b) >= F.greatest(a, b) * F.lit(self.least - 1e-9)
 
-    def _with_components(self, members: DataFrame, links: DataFrame) -> DataFrame:
+    def _with_components(self, members: DataFrame, links: DataFrame | None) -> DataFrame:
+        if links is None:
+            return members.withColumn("component", F.col("uid"))
         parts = components(links).select(F.col("node").alias("uid"), "component")
         return members.join(parts, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
 

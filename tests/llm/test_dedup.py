@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import capfilter, components, dartminhash, suffixlevels
 from tessella.llm.shared import lookup
@@ -217,6 +218,20 @@ def test_near_duplicate_edges(spark):
     assert dartminhash.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_leader_too_long(spark, monkeypatch, rounds):
+    """Buckets whose leader fits none of its members are still compared."""
+    monkeypatch.setattr(dartminhash, "STAR_ROUNDS", rounds)
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words), " ".join([*words[:98], "x", "y"]), " ".join([*words, *(f"v{i}" for i in range(40))])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    search = dartminhash._Search(df, "doc_id", "text", 0.8, 1 << 20)
+    search.rows = search.rows.withColumn("bands", F.array(F.lit(1).cast("long")))  # one bucket, led by the last text
+    uid = {r.id: r.uid for r in search.rows.collect()}
+    assert uid[2] == max(uid.values())
+    assert {frozenset((r.a, r.b)) for r in search.links().collect()} == {frozenset((uid[0], uid[1]))}
+
+
 def test_components(spark):
     rng = random.Random(1)
     for n, m in ((60, 30), (200, 260)):
