@@ -8,14 +8,16 @@ The height is set (from random unit vectors, not from the data) so that a vector
 ``CAPS`` filters on average; a vector with few takes its ``LEAST_CAPS`` best ones. ``TURNS``
 rotations are used side by side. Of pairs at cosine 0.931, one in 3000 or fewer shared no filter.
 
-Vectors are joined on (label, filter) and verified by cosine in double precision. Buckets are
+Vectors are joined on (length, label, filter) and verified by cosine in double precision. Buckets are
 cut into blocks of at most ``BLOCK`` vectors, and each pair of blocks is one piece of work, so
 no bucket has to fit into a task. A pair that shares several filters counts in the first of
 them. No pair is emitted: a piece returns the number of links per vector and a spanning forest
 of what it links. Equal vectors of a label are one class that enters once with its size.
 
-Defined cases: vectors that are null, empty, zero, of another length than the first, or hold
-null or non-finite components link with nothing, and so do those without a label; a null id
+Vectors of each length have filters of their own and link with each other only.
+
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components
+link with nothing, and so do those without a label; a null id
 ranks below others; rows may repeat, and equal vectors link like any others; an empty table
 gives an empty result; other columns are ignored.
 """
@@ -142,7 +144,7 @@ def _shares_earlier(caps_a: list[np.ndarray], caps_b: list[np.ndarray], cap: int
     return member(before_a) @ member(before_b).T > 0
 
 
-def _piece(dimension: int, kind: type, cosine: float):
+def _piece(kind: type, cosine: float):
     """Links of one pair of blocks of a bucket: counts per class and a spanning forest."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -151,7 +153,7 @@ def _piece(dimension: int, kind: type, cosine: float):
         order = np.lexsort((table.column("rep").to_numpy(), block))
         table, block = table.take(pa.array(order)), block[order]
         uid, size = table.column("rep").to_numpy(), table.column("size").to_numpy()
-        vectors = _unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), kind).reshape(-1, dimension))
+        vectors = _unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), kind).reshape(len(uid), -1))
         caps = [c.values.to_numpy() for c in table.column("caps")]
         left = np.flatnonzero(block == first)
         right = np.flatnonzero(block == second) if second != first else left
@@ -195,10 +197,8 @@ def near_vectors(
     base = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(wide).alias("vector"), F.col(label_col).cast("string").alias("label")
     )
-    size = base.filter(F.size("vector") > 0).select(F.size("vector").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").first()
-    dimension = size["d"] if size else 1
     # rows: numbered by what identifies a class, the label and the vector's bytes
-    fine = F.col("label").isNotNull() & (F.size("vector") == dimension) & ~F.exists(
+    fine = F.col("label").isNotNull() & (F.size("vector") > 0) & ~F.exists(
         "vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     )
     fine = fine & F.exists("vector", lambda x: x != 0)
@@ -213,46 +213,52 @@ def near_vectors(
     classes = rows.filter("fine").groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("vector").alias("vector")
     )
+    classes = classes.withColumn("d", F.size("vector"))
     classes = written(classes.withColumn("rep", F.xxhash64("key", F.lit(1)).bitwiseAND(F.lit((1 << 62) - 1))), "cap-classes")
     n = classes.count()
     if n != classes.select("rep").distinct().count():
         raise RuntimeError("two classes of vectors share a number")
-    top = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    want = math.sqrt(max(1.0, top * CAPS / CHANCE))
-    code = CapFilters(dimension, int(min(MAX_CODE, max(MIN_CODE, 2 ** math.ceil(math.log2(want))))))
-    shared = spark.sparkContext.broadcast(code)
+    tops = classes.groupBy("d", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("d").agg(F.max("n").alias("n")).collect()
+    codes = {}
+    for d, top in tops:
+        want = math.sqrt(max(1.0, top * CAPS / CHANCE))
+        codes[d] = CapFilters(d, int(min(MAX_CODE, max(MIN_CODE, 2 ** math.ceil(math.log2(want))))))
+    shared = spark.sparkContext.broadcast(codes)
 
     def decode(parts):
         own = shared.value
-        for part in parts:
-            lists = part.column(3)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(len(lists), dimension)
-            found = own.decode(_unit(flat))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *part.columns[:3],
-                    pa.array([r.tobytes() for r in flat], pa.binary()),
-                    pa.array([c.astype(np.int32) for c in found], pa.list_(pa.int32())),
-                ],
-                names=["rep", "size", "label", "vector", "caps"],
-            )
-
-    filed = classes.select("rep", "size", "label", "vector").mapInArrow(
-        decode, "rep long, size long, label string, vector binary, caps array<int>"
+        for mixed in parts:
+            lengths = mixed.column(3).to_numpy()
+            for d in np.unique(lengths).tolist():
+                part = mixed.take(pa.array(np.flatnonzero(lengths == d)))
+                lists = part.column(4)
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(len(lists), d)
+                found = own[d].decode(_unit(flat))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *part.columns[:4],
+                        pa.array([r.tobytes() for r in flat], pa.binary()),
+                        pa.array([c.astype(np.int32) for c in found], pa.list_(pa.int32())),
+                    ],
+                    names=["rep", "size", "label", "d", "vector", "caps"],
+                )
+
+    filed = classes.select("rep", "size", "label", "d", "vector").mapInArrow(
+        decode, "rep long, size long, label string, d int, vector binary, caps array<int>"
     )
     filed = written(filed, "cap-filters")
-    spread = filed.select("rep", "label", F.explode("caps").alias("cap"))
-    buckets = spread.groupBy("label", "cap").agg(F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1")
-    spread = lookup(spread, buckets, ["label", "cap"], "in_bucket", F.col("rep"))
+    spread = filed.select("rep", "label", "d", F.explode("caps").alias("cap"))
+    buckets = spread.groupBy("label", "cap", "d").agg(F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1")
+    spread = lookup(spread, buckets, ["label", "cap", "d"], "in_bucket", F.col("rep"))
     spread = spread.filter("in_bucket > 1").withColumn("blocks", F.ceil(F.col("in_bucket") / F.lit(block)).cast("int"))
     spread = spread.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select(
-        "label", "cap", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "rep"
+        "label", "cap", "d", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "rep"
     )
     pieces = spread.join(filed.select("rep", "size", "vector", "caps"), "rep")
-    work = pieces.groupBy("label", "cap", "first", "second").applyInArrow(
-        _piece(dimension, kind, cosine), "a long, b long, n long"
+    work = pieces.groupBy("label", "cap", "first", "second", "d").applyInArrow(
+        _piece(kind, cosine), "a long, b long, n long"
     )
     work = written(work, "cap-links")
     counts = work.filter("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))

@@ -306,3 +306,12 @@ def test_cap_edges(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in capfilter.near_vectors(df).collect())
     assert got == [("1", 2, "1"), ("1", 2, "1"), ("4", 1, "4"), ("5", 1, "4"), ("6", 0, "6"), ("None", 2, "1")]
+
+
+def test_cap_lengths(spark):
+    """Vectors of a rarer length link with each other, and not with those of other lengths."""
+    a, b, c = [1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [0.0, 1.0, 0.0]
+    rows = [(i, [1.0, float(i)], 1) for i in (0, 5, 50, 51)] + [(10, a, 1), (11, a, 1), (12, b, 1), (13, c, 1), (14, a, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in capfilter.near_vectors(df).collect()}
+    assert got == {0: (0, 0), 5: (2, 5), 50: (2, 5), 51: (2, 5), 10: (2, 10), 11: (2, 10), 12: (2, 10), 13: (0, 13), 14: (0, 14)}
