@@ -40,7 +40,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exacthash.exact_dedup(load(spark, sf_dir, "documents")).drop("bucket")
+    return exacthash.exact_dedup(load(spark, sf_dir, "documents")).drop("bucket", "page", "link")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessella.llm import exacthash, urltrie, warc
 from tessella.llm.queries import URL_RULES
@@ -40,6 +41,57 @@ def test_exact_dedup(spark):
     assert sorted(r.doc_id for r in stay.collect()) == sorted(best.values())  # repeated rows of 9 leave one
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "int"])
+def test_exact_dedup_ids(spark, kind):
+    """Extreme, null and textual ids."""
+    top = 2**63 - 1 if kind == "long" else 2**31 - 1
+    ids = [top, -top - 1, -top, 0, None] if kind != "string" else ["b", "a", "", None, "ab"]
+    rows = [(i, t) for t in ("x", "y ", "z" * 40) for i in ids] + [(ids[0], "only")] + [(None, "none"), (None, "n one"), (None, "n one")]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
+    best = {}
+    for i, t in rows:
+        rank = (-len(t), i is None, i or (0 if kind != "string" else ""))
+        best[same(t)] = min(best.get(same(t), ((1,), None)), (rank, i), key=lambda x: x[0])
+    got = exacthash.exact_dedup(df).collect()
+    assert {(r.text_sha256, r.keep_id) for r in got} == {(hashlib.sha256(k.encode()).hexdigest(), v[1]) for k, v in best.items()}
+    stay = exacthash.drop_copies(df).collect()
+    assert sorted(same(r.text) for r in stay) == sorted(best)
+    assert {same(r.text): r.doc_id for r in stay} == {k: v[1] for k, v in best.items()}
+
+
+def test_exact_dedup_collisions(spark, monkeypatch):
+    """Different texts of one hash become links of a chain: their bytes are compared."""
+    monkeypatch.setattr(exacthash.F, "xxhash64", lambda *c: exacthash.F.lit(7).cast("long") if len(c) == 1 else exacthash.F.hash(*c).cast("long"))
+    df = spark.createDataFrame([(i, "abcde"[i % 5] * (1 + i % 2)) for i in range(40)], "doc_id long, text string").repartition(3)
+    got = exacthash.exact_dedup(df).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, i % 10, 4) for i in range(40)}
+    assert {(r.bucket, r.link) for r in got} == {(got[0].bucket, k) for k in range(1, 11)}
+    assert sorted(r.doc_id for r in exacthash.drop_copies(df).collect()) == list(range(10))
+
+
+def test_exact_dedup_pages(spark, monkeypatch):
+    """A directory that can't double any more leaves its buckets several pages."""
+    monkeypatch.setattr(exacthash, "MAX_DEPTH", 1)
+    df = spark.createDataFrame([(i, f"t{i % 50}") for i in range(100)], "doc_id long, text string")
+    got = exacthash.exact_dedup(df, bucket_rows=4).collect()
+    assert all(r.keep_id == r.doc_id % 50 and r.group_size == 2 for r in got)
+    assert len({r.bucket for r in got}) == 2 and max(r.page for r in got) >= 6
+
+
+def test_exact_dedup_needs_its_index(spark, monkeypatch):
+    """Results come from the chains: without one of their rows, its documents have no class."""
+    whole = exacthash.Index._paged
+    monkeypatch.setattr(exacthash.Index, "_paged", lambda self, chains, n: whole(self, chains, n).filter("n < 3"))
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b")], "doc_id long, text string")
+    assert {r.doc_id: r.keep_id for r in exacthash.exact_dedup(df).collect()} == {1: None, 2: None, 3: None, 4: 4}
+
+
+def test_exact_dedup_long(spark):
+    rows = [(1, "x y" * 2_000_000), (2, "xy" * 2_000_000), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exacthash.exact_dedup(df).collect()} == {1: (1, 2), 2: (1, 2), 3: (3, 1)}
+
+
 def test_exact_dedup_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert exacthash.exact_dedup(df).count() == 0
