@@ -6,17 +6,23 @@ refer to it and carry the HTTP headers only. Each task writes its rows into arch
 shared folder. Names follow from partition and place, so a task that is run again writes the
 same files, and readers go by the manifest.
 
-Reader: members are decompressed incrementally from a bounded buffer, records are framed by
-Content-Length, and block and payload digests are verified; any mismatch is an error.
+Reader: members are decompressed incrementally, never further than what is asked for, so a member
+that unpacks to more than its record states costs no memory. Records are framed by Content-Length,
+and digests are verified as the bytes pass by; any mismatch is an error. Any record of WARC/1.0
+and 1.1 is read, whatever its type and id; digests that a record doesn't state, or states in an
+algorithm that ``hashlib`` lacks, aren't verified. Archives are read side by side, a few per task.
 
 Defined cases: a null payload counts as empty; a null url leaves out the target header; a null
-page id is written as ``null`` and ranks below all others; rows that repeat the response's id
-and payload are responses too; other columns are ignored.
+page id is written as ``null`` and ranks below all others; ids that this writer didn't make give
+a null page id; rows that repeat the response's id and payload are responses too; payloads may be
+as long as a row can be (a writer holds one archive, a reader that wants no payloads one buffer);
+an empty table gives no archive and no record; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import binascii
 import hashlib
 import io
 import zlib
@@ -34,6 +40,10 @@ DATE = "1970-01-01T00:00:00Z"
 CHUNK = 1 << 16
 #: Bytes of payload after which a task begins another archive.
 ARCHIVE_BYTES = 64 << 20
+#: Longest headers that a reader looks for the end of.
+HEADER_BYTES = 1 << 20
+#: Archives that a task reads where there are more than two per core.
+TASK_ARCHIVES = 4
 
 
 def digest32(data: bytes) -> str:
@@ -45,9 +55,10 @@ def _urn(page_id) -> str:
     return f"<urn:page:{'null' if page_id is None else page_id}>"
 
 
-def _page(urn: str) -> int | None:
-    name = urn.removeprefix("<urn:page:").removesuffix(">")
-    return None if name == "null" else int(name)
+def _page(urn: str | None) -> int | None:
+    """The page id in a record id of this writer, null for any other."""
+    name = (urn or "").strip("<>").removeprefix("urn:page:")
+    return int(name) if name.removeprefix("-").isdecimal() else None
 
 
 def _header_value(text: str) -> str:
@@ -83,46 +94,158 @@ def encode_record(page_id, url: str | None, payload: bytes, refers_to=None, revi
     return press.compress(data) + press.flush()
 
 
+class _Source:
+    """A compressed stream and the place in it."""
+
+    def __init__(self, stream: BinaryIO, chunk: int) -> None:
+        self.stream, self.chunk, self.data, self.at = stream, chunk, b"", 0
+
+    def filled(self) -> bool:
+        self.data = self.data or self.stream.read(self.chunk)
+        return bool(self.data)
+
+
+class Member:
+    """One gzip member, decompressed as far as it is read."""
+
+    def __init__(self, source: _Source) -> None:
+        self.source, self.begun = source, source.at
+        self.press, self.held = zlib.decompressobj(31), b""
+
+    def read(self, n: int) -> bytes:
+        """The next ``n`` bytes, fewer at the member's end."""
+        out, self.held = [self.held[:n]], self.held[n:]
+        n -= len(out[0])
+        while n > 0 and not self.press.eof:
+            if not self.source.filled():
+                raise ValueError(f"the gzip member at {self.begun} is cut off")
+            out.append(self.press.decompress(self.source.data, n))
+            rest = self.press.unused_data if self.press.eof else self.press.unconsumed_tail
+            self.source.at += len(self.source.data) - len(rest)
+            self.source.data = rest
+            n -= len(out[-1])
+        return b"".join(out)
+
+    def headers(self, most: int) -> bytes | None:
+        """What stands before the next empty line, if that comes within ``most`` bytes; what follows is read next."""
+        seen = b""
+        while (end := seen.find(b"\r\n\r\n")) < 0 and len(seen) < most:
+            if not (more := self.read(min(4096, most - len(seen)))):
+                break
+            seen += more
+        self.held = (seen[end + 4 :] if end >= 0 else seen) + self.held
+        return seen[:end] if end >= 0 else None
+
+
+def members(stream: BinaryIO, chunk: int = CHUNK) -> Iterator[Member]:
+    """The gzip members of a stream, one after another; each has to be read to its end."""
+    source = _Source(stream, chunk)
+    while source.filled():
+        yield (member := Member(source))
+        if not member.press.eof and (member.read(1) or not member.press.eof):
+            raise ValueError(f"the gzip member at {member.begun} goes on after its record")
+
+
 def read_members(stream: BinaryIO, chunk: int = CHUNK) -> Iterator[tuple[int, bytes]]:
-    """Offset and contents of each gzip member, decompressed as the stream is read."""
-    data, at = b"", 0
-    while True:
-        if not data and not (data := stream.read(chunk)):
-            return
-        press, parts, begun = zlib.decompressobj(31), [], at
-        while not press.eof:
-            if not data and not (data := stream.read(chunk)):
-                raise ValueError(f"the gzip member at {begun} is cut off")
-            parts.append(press.decompress(data))
-            at += len(data) - len(press.unused_data)
-            data = press.unused_data
-        yield begun, b"".join(parts)
-
-
-def decode_record(data: bytes) -> tuple[dict[str, str], bytes]:
-    """WARC headers (lower-case names) and block of a record; framing and digests are verified."""
-    head, found, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not found or not lines[0].startswith("WARC/"):
-        raise ValueError("not a WARC record")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    n = int(headers["content-length"])
-    block = rest[:n]
-    if len(block) != n or rest[n:] != b"\r\n\r\n":
-        raise ValueError(f"{headers.get('warc-record-id')}: Content-Length does not frame the block")
-    if f"sha1:{digest32(block)}" != headers["warc-block-digest"]:
-        raise ValueError(f"{headers.get('warc-record-id')}: wrong block digest")
-    return headers, block
-
-
-def parse_http(block: bytes) -> tuple[int, bytes]:
-    """Stated length and body of an HTTP response."""
-    head, _, body = block.partition(b"\r\n\r\n")
-    for line in head.split(b"\r\n")[1:]:
-        name, _, value = line.partition(b":")
-        if name.strip().lower() == b"content-length":
-            return int(value), body
-    return len(body), body
+    """Offset and whole contents of each gzip member."""
+    for member in members(stream, chunk):
+        parts = []
+        while part := member.read(CHUNK):
+            parts.append(part)
+        yield member.begun, b"".join(parts)
+
+
+def _fields(lines: list[bytes]) -> dict[str, str]:
+    """Header fields by lower-case name; a line that begins with white space goes on with the one before."""
+    found: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and name:
+            found[name] += " " + text.strip()
+        elif ":" in text:
+            name, _, value = text.partition(":")
+            name = name.strip().lower()
+            found[name] = value.strip()
+    return found
+
+
+class _Digest:
+    """A stated digest, ``algorithm:value`` in base 32 or 16, and the bytes that should have it."""
+
+    def __init__(self, stated: str | None) -> None:
+        name, _, self.value = (stated or "").partition(":")
+        name = name.lower().replace("-", "")
+        self.known = bool(self.value) and name in hashlib.algorithms_available and not name.startswith("shake")
+        self.hash = hashlib.new(name) if self.known else None
+
+    def update(self, data: bytes) -> None:
+        if self.known:
+            self.hash.update(data)
+
+    def wrong(self) -> bool:
+        if not self.known:
+            return False
+        raw = self.hash.digest()
+        own = base64.b32encode(raw).decode().rstrip("="), binascii.hexlify(raw).decode().upper()
+        return self.value.upper().rstrip("=") not in own
+
+
+def read_record(member: Member, payloads: bool = False) -> dict:
+    """Fields of a record; framing and digests are verified. The payload is kept only if asked for."""
+    head = member.headers(HEADER_BYTES)
+    lines = (head or b"").split(b"\r\n")
+    if head is None or not lines[0].startswith(b"WARC/"):
+        raise ValueError(f"no WARC record at {member.begun}")
+    fields = _fields(lines[1:])
+    name, kind = fields.get("warc-record-id"), fields.get("warc-type")
+    if not fields.get("content-length", "").isdecimal():
+        raise ValueError(f"{name}: no Content-Length")
+    left = int(fields["content-length"])
+    block, payload = _Digest(fields.get("warc-block-digest")), _Digest(fields.get("warc-payload-digest"))
+    sha, size, kept = hashlib.sha1(), 0, []
+    body: bool | None = not fields.get("content-type", "").lower().startswith("application/http")
+    front, http = b"", {}
+    while left:
+        part = member.read(min(CHUNK, left))
+        if not part:
+            raise ValueError(f"{name}: Content-Length does not frame the block")
+        left -= len(part)
+        block.update(part)
+        if not body:  # HTTP headers come first
+            front += part
+            end = front.find(b"\r\n\r\n")
+            if end < 0 and left and len(front) < HEADER_BYTES:
+                continue
+            http = _fields(front[: end if end >= 0 else len(front)].split(b"\r\n")[1:])
+            body, part = True, front[end + 4 :] if end >= 0 else b""
+        sha.update(part)
+        payload.update(part)
+        size += len(part)
+        if payloads:
+            kept.append(part)
+    if member.read(5) != b"\r\n\r\n":
+        raise ValueError(f"{name}: Content-Length does not frame the block")
+    if block.wrong():
+        raise ValueError(f"{name}: wrong block digest")
+    whole = kind != "revisit" and fields.get("warc-segment-number") is None
+    # a digest of a chunked body may be of what the chunks hold
+    if whole and payload.wrong() and "chunked" not in http.get("transfer-encoding", "").lower():
+        raise ValueError(f"{name}: wrong payload digest")
+    stated = fields.get("warc-payload-digest", "")
+    if kind == "revisit" and http.get("content-length", "").isdecimal():
+        size = int(http["content-length"])  # of the payload that it refers to
+    own = stated.removeprefix("sha1:") if stated.startswith("sha1:") else base64.b32encode(sha.digest()).decode() if whole else None
+    return {
+        "page_id": _page(name),
+        "payload_bytes": size,
+        "payload_digest": own,
+        "record_type": kind,
+        "refers_to": _page(fields.get("warc-refers-to")),
+        "record_id": name,
+        "url": fields.get("warc-target-uri"),
+        "payload": b"".join(kept) if payloads and kind != "revisit" else None,
+    }
 
 
 RECORD = pa.schema(
@@ -132,6 +255,7 @@ RECORD = pa.schema(
         ("payload_digest", pa.string()),
         ("record_type", pa.string()),
         ("refers_to", pa.int64()),
+        ("record_id", pa.string()),
         ("url", pa.string()),
         ("archive", pa.string()),
         ("offset", pa.int64()),
@@ -142,23 +266,8 @@ RECORD = pa.schema(
 
 def read_archive(stream: BinaryIO, name: str, payloads: bool = False) -> Iterator[dict]:
     """Records of an archive, as rows of ``RECORD``."""
-    for offset, data in read_members(stream):
-        headers, block = decode_record(data)
-        size, body = parse_http(block)
-        kind, stated = headers["warc-type"], headers["warc-payload-digest"]
-        if kind == "response" and (len(body) != size or f"sha1:{digest32(body)}" != stated):
-            raise ValueError(f"{headers.get('warc-record-id')}: wrong payload digest")
-        yield {
-            "page_id": _page(headers["warc-record-id"]),
-            "payload_bytes": size,
-            "payload_digest": stated.removeprefix("sha1:"),
-            "record_type": kind,
-            "refers_to": _page(headers["warc-refers-to"]) if "warc-refers-to" in headers else None,
-            "url": headers.get("warc-target-uri"),
-            "archive": name,
-            "offset": offset,
-            "payload": body if payloads and kind == "response" else None,
-        }
+    for member in members(stream):
+        yield read_record(member, payloads) | {"archive": name, "offset": member.begun}
 
 
 def write_warc(
@@ -225,22 +334,27 @@ def read_warc(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                 files, path = filesystem(uri)
                 with files.open_input_stream(path, compression=None) as stream:
                     rows = []
+                    held = 0
                     for row in read_archive(stream, uri.rpartition("/")[2], payloads):
                         rows.append(row)
-                        if len(rows) == 256:
+                        held += len(row["payload"] or b"")
+                        if len(rows) == 256 or held > ARCHIVE_BYTES:
                             yield pa.RecordBatch.from_pylist(rows, RECORD)
-                            rows = []
+                            rows, held = [], 0
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, RECORD)
 
-    return manifest.repartition(F.col("archive")).mapInArrow(
+    archives, cores = manifest.count(), manifest.sparkSession.sparkContext.defaultParallelism
+    # a stated number of partitions, which adaptive execution leaves as it is
+    tasks = max(1, min(archives, 2 * cores), -(-archives // TASK_ARCHIVES))
+    return manifest.repartition(tasks).mapInArrow(
         run,
         "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
-        "url string, archive string, offset long, payload binary",
+        "record_id string, url string, archive string, offset long, payload binary",
     )
 
 
 def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
     """Write a record per page, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     manifest = write_warc(pages, new_folder(pages.sparkSession, "warc"), **columns)
-    return read_warc(manifest).drop("payload", "url")
+    return read_warc(manifest).drop("payload", "url", "record_id")

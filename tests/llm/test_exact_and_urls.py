@@ -194,6 +194,65 @@ def test_warc_reader_finds_damage():
                 list(warc.read_archive(io.BytesIO(gzip.compress(bad)), "a"))
 
 
+def member(kind, block, *more, version="1.0", cut=0):
+    import gzip
+
+    lines = [f"WARC/{version}", f"WARC-Type: {kind}", *more, f"Content-Length: {len(block) - cut}"]
+    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_warc_standard_records():
+    """Records of other writers: no digests, other ids, types and algorithms, folded and odd headers."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hi"
+    sha256 = "sha256:" + hashlib.sha256(b"<p>hi").hexdigest()
+    uuid = "WARC-Record-ID: <urn:uuid:d7ae5c10-e6b3-4d27-967d-34780c58ba39>"
+    data = [
+        member("warcinfo", b"software: x\r\n", uuid, "Content-Type: application/warc-fields"),
+        member("request", b"GET / HTTP/1.1\r\n\r\n", uuid, "Content-Type: application/http; msgtype=request"),
+        member("response", http, uuid, "content-type: application/http;msgtype=response", "WARC-Target-URI: http://a/\r\n b", f"WARC-Payload-Digest: {sha256}"),
+        member("resource", b"", uuid, "WARC-Block-Digest: md9:zzz", version="1.1"),
+        member("revisit", b"HTTP/1.1 304\r\n\r\n", uuid, "Content-Type: application/http", "WARC-Refers-To: <urn:uuid:0>", "WARC-Payload-Digest: sha1:ABC"),
+        member("response", b"HTTP/1.1 200 OK", "Content-Type: application/http"),
+    ]
+    rows = list(warc.read_archive(io.BytesIO(b"".join(data)), "a", True))
+    assert [r["record_type"] for r in rows] == ["warcinfo", "request", "response", "resource", "revisit", "response"]
+    assert rows[2]["payload"] == b"<p>hi" and rows[2]["payload_bytes"] == 5 and rows[2]["url"] == "http://a/ b"
+    assert rows[2]["payload_digest"] == base64.b32encode(hashlib.sha1(b"<p>hi").digest()).decode()
+    assert rows[4]["payload_digest"] == "ABC" and rows[4]["refers_to"] is None and rows[5]["payload"] == b""
+    assert all(r["page_id"] is None for r in rows) and rows[0]["record_id"].startswith("<urn:uuid:")
+    for bad in (
+        member("response", http, "Content-Type: application/http", "WARC-Payload-Digest: sha1:ABC"),
+        member("resource", b"x", "WARC-Block-Digest: sha1:ABC"),
+        member("resource", b"xy", cut=1),
+        member("resource", b"xy", cut=-1),
+    ):
+        with pytest.raises(ValueError):
+            list(warc.read_archive(io.BytesIO(bad), "a"))
+
+
+def test_warc_bomb():
+    """What a member holds beyond its record is never unpacked."""
+    import gzip
+    import tracemalloc
+
+    bomb = gzip.compress(b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc" + bytes(300 << 20), 9)
+    endless = gzip.compress(b"WARC/1.0\r\nX: " + b"x" * (300 << 20), 9)
+    tracemalloc.start()
+    for data in (bomb, endless):
+        with pytest.raises(ValueError):
+            list(warc.read_archive(io.BytesIO(data), "a"))
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+
+
+def test_warc_reads_side_by_side(spark):
+    df = spark.range(60).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), 50).alias("html")).repartition(3)
+    manifest = warc.write_warc(df, warc.new_folder(spark, "test-warc"), archive_bytes=100)
+    read = warc.read_warc(manifest)
+    assert manifest.count() >= 30 and read.count() == 60
+    assert read.select(F.spark_partition_id().alias("p")).distinct().count() >= 6
+
+
 def test_warc_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(df).count() == 0
