@@ -5,8 +5,10 @@ A vector is turned by a random rotation and cut into two blocks. Each block has
 inner products. List decoding finds all filters whose direction exceeds the cap's height: block
 scores are summed pairwise, after dropping directions that no partner can lift over the height.
 The height is set (from random unit vectors, not from the data) so that a vector falls into
-``CAPS`` filters on average; a vector with few takes its ``LEAST_CAPS`` best ones. ``TURNS``
-rotations are used side by side. Of pairs at cosine 0.931, one in 3000 or fewer shared no filter.
+``CAPS`` filters on average; a vector with few takes its best ones, ``LEAST`` times as many.
+``TURNS`` rotations are used side by side. Of simulated pairs at cosine 0.931 in 64 dimensions, one
+in a thousand or fewer shared no filter with codes of 256 to 16,384 directions; the code grows with
+the square root of the rows of a label, and the filters a vector has grow with the code.
 
 Vectors are joined on (length, label, filter) and verified by cosine in double precision. Buckets are
 cut into blocks of at most ``BLOCK`` vectors, and each pair of blocks is one piece of work, so
@@ -35,12 +37,14 @@ from .components import components
 from .shared import lookup, written
 
 COSINE = 0.93
-#: Per rotation: filters of a vector on average, and at least.
-CAPS, LEAST_CAPS = 8, 6
+#: Per rotation: filters of a vector on average (for codes of up to WIDE directions; finer ones take
+#: more, in proportion to the fourth root, which keeps the recall), and the share it has at least.
+CAPS, LEAST, WIDE = 8, 0.75, 1024
 TURNS = 4
-#: Vectors that fall into a filter by chance, which sets M within these bounds.
+#: Vectors that fall into a filter by chance, which sets M. The largest code (some 150 MB a worker)
+#: serves six billion vectors a label; beyond that buckets grow and are still compared in full.
 CHANCE = 32
-MIN_CODE, MAX_CODE = 64, 1024
+MIN_CODE, MAX_CODE = 64, 1 << 16
 BLOCK = 2048
 SEED = 20240229
 
@@ -50,6 +54,7 @@ class ProductCode:
 
     def __init__(self, dimension: int, size: int, caps: float = CAPS, seed: int = SEED) -> None:
         self.dimension, self.size = dimension, size
+        self.least = min(int(caps * LEAST), size * size)
         random = np.random.default_rng(seed)
         width = max(2, dimension + dimension % 2)
         turn, upper = np.linalg.qr(random.standard_normal((width, width)))
@@ -59,7 +64,10 @@ class ProductCode:
         sample = random.standard_normal((256, dimension))
         sample /= np.linalg.norm(sample, axis=1, keepdims=True)
         a, b = self.scores(sample)
-        rows = np.concatenate([np.partition((x[:, None] + y[None, :]).ravel(), -4096 if size >= 64 else 0)[-4096:] for x, y in zip(a, b, strict=True)])
+        top = min(size, 512)  # the greatest sums are those of great scores
+        a, b = (np.partition(x, size - top, axis=1)[:, size - top :] for x in (a, b))
+        most = min(4096, top * top)
+        rows = np.concatenate([np.partition((x[:, None] + y[None, :]).ravel(), top * top - most)[-most:] for x, y in zip(a, b, strict=True)])
         want = int(min(caps, size * size) * len(sample))
         self.height = float(np.partition(rows, -want)[-want])
 
@@ -70,6 +78,10 @@ class ProductCode:
 
     def decode(self, vectors: np.ndarray) -> list[np.ndarray]:
         """All filters that each unit vector exceeds, in rising order; its best ones if they are too few."""
+        step = max(1, (1 << 21) // self.size)
+        return [caps for at in range(0, len(vectors), step) for caps in self._decode(vectors[at : at + step])]
+
+    def _decode(self, vectors: np.ndarray) -> list[np.ndarray]:
         a, b = self.scores(vectors)
         out = []
         for x, y in zip(a, b, strict=True):
@@ -79,11 +91,11 @@ class ProductCode:
                 j = np.flatnonzero(y + x.max() >= height)
                 sums = x[i, None] + y[None, j]
                 hit = np.argwhere(sums >= height)
-                if len(hit) >= min(LEAST_CAPS, self.size**2):
+                if len(hit) >= self.least:
                     break
                 height -= 0.03
-            if height < self.height and len(hit) > LEAST_CAPS:
-                best = np.argpartition(-sums[hit[:, 0], hit[:, 1]], LEAST_CAPS)[:LEAST_CAPS]
+            if height < self.height and len(hit) > self.least:
+                best = np.argpartition(-sums[hit[:, 0], hit[:, 1]], self.least)[: self.least]
                 hit = hit[best]
             out.append(np.sort(i[hit[:, 0]] * self.size + j[hit[:, 1]]))
         return out
@@ -92,8 +104,9 @@ class ProductCode:
 class CapFilters:
     """Several product codes side by side."""
 
-    def __init__(self, dimension: int, size: int, caps: float = CAPS) -> None:
+    def __init__(self, dimension: int, size: int) -> None:
         self.size = size
+        caps = CAPS * max(1.0, size / WIDE) ** 0.25
         self.codes = [ProductCode(dimension, size, caps, SEED + t) for t in range(TURNS)]
 
     def decode(self, vectors: np.ndarray) -> list[np.ndarray]:
@@ -131,7 +144,7 @@ def _shares_earlier(caps_a: list[np.ndarray], caps_b: list[np.ndarray], cap: int
     """Which pairs share a filter below ``cap``."""
     before_a = [c[: np.searchsorted(c, cap)] for c in caps_a]
     before_b = [c[: np.searchsorted(c, cap)] for c in caps_b]
-    names = np.unique(np.concatenate([*before_a, *before_b])) if caps_a or caps_b else np.zeros(0, np.int32)
+    names = np.unique(np.concatenate([*before_a, *before_b])) if caps_a or caps_b else np.zeros(0, np.int64)
     if not len(names):
         return np.zeros((len(caps_a), len(caps_b)), bool)
 
@@ -214,10 +227,8 @@ def near_vectors(
         F.count(F.lit(1)).alias("size"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("vector").alias("vector")
     )
     classes = classes.withColumn("d", F.size("vector"))
-    classes = written(classes.withColumn("rep", F.xxhash64("key", F.lit(1)).bitwiseAND(F.lit((1 << 62) - 1))), "cap-classes")
-    n = classes.count()
-    if n != classes.select("rep").distinct().count():
-        raise RuntimeError("two classes of vectors share a number")
+    # numbered by partition and place, once, as the table is written: no two classes share a number
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "cap-classes")
     tops = classes.groupBy("d", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("d").agg(F.max("n").alias("n")).collect()
     codes = {}
     for d, top in tops:
@@ -238,13 +249,13 @@ def near_vectors(
                     [
                         *part.columns[:4],
                         pa.array([r.tobytes() for r in flat], pa.binary()),
-                        pa.array([c.astype(np.int32) for c in found], pa.list_(pa.int32())),
+                        pa.array([c.astype(np.int64) for c in found], pa.list_(pa.int64())),
                     ],
                     names=["rep", "size", "label", "d", "vector", "caps"],
                 )
 
     filed = classes.select("rep", "size", "label", "d", "vector").mapInArrow(
-        decode, "rep long, size long, label string, d int, vector binary, caps array<int>"
+        decode, "rep long, size long, label string, d int, vector binary, caps array<long>"
     )
     filed = written(filed, "cap-filters")
     spread = filed.select("rep", "label", "d", F.explode("caps").alias("cap"))

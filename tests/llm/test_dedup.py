@@ -315,3 +315,23 @@ def test_cap_lengths(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = {r.vec_id: (r.n_links, r.component_id) for r in capfilter.near_vectors(df).collect()}
     assert got == {0: (0, 0), 5: (2, 5), 50: (2, 5), 51: (2, 5), 10: (2, 10), 11: (2, 10), 12: (2, 10), 13: (0, 13), 14: (0, 14)}
+
+
+def test_many_links_settle(spark):
+    """The state of 2**25 links and more doesn't overflow (a sum of 40-bit marks did from 2**24 on)."""
+    links = spark.range(1 << 25).select((F.col("id") + 1).alias("u"), F.col("id").alias("v"))
+    n, *marks = components._state(links)
+    assert n == 1 << 25 and any(marks) and components._state(links.limit(0)) == (0, 0, 0)
+
+
+@pytest.mark.parametrize("size", [64, 4096])
+def test_finer_codes_keep_recall(size):
+    rng = np.random.default_rng(size)
+    a = rng.standard_normal((150, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z = rng.standard_normal(a.shape)
+    z -= (z * a).sum(1, keepdims=True) * a
+    b = 0.931 * a + np.sqrt(1 - 0.931**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    code = capfilter.CapFilters(64, size)
+    found = [len(np.intersect1d(x, y)) > 0 for x, y in zip(code.decode(a), code.decode(b), strict=True)]
+    assert np.mean(found) >= 0.99
