@@ -208,8 +208,8 @@ def _signed(folder: str, id_col: str, text_col: str):
     return use
 
 
-def _sets(folder: str, text_col: str, short: bool = False):
-    """Sets of cells of the rows of a batch that are asked for; ``short``: 32 bits of each."""
+def _sets(folder: str, text_col: str):
+    """Sets of cells of the rows of a batch that are asked for."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rows = read_batch(folder, key[0].as_py())
@@ -218,8 +218,6 @@ def _sets(folder: str, text_col: str, short: bool = False):
         found = []
         for lo, hi in _groups(texts):
             cell, bounds = cells(texts[lo:hi])
-            if short:
-                cell = (cell >> _U(32)).astype(np.uint32)
             found += [np.sort(cell[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         tidy()
         return pa.table({"uid": pa.array(uid), "cells": pa.array(found, pa.binary())})
@@ -266,7 +264,7 @@ def _pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             "mains": table.column("mains").slice(0, 1),
             "uids": [uid[order].tobytes()],
             "components": [table.column("component").to_numpy()[order].tobytes()],
-            "sizes": [np.array([len(x) // 4 for x in data], np.int64).tobytes()],
+            "sizes": [np.array([len(x) // 8 for x in data], np.int64).tobytes()],
             "cells": [b"".join(data)],
         }
     )
@@ -275,7 +273,7 @@ def _pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 def _overlaps(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of all sets of one block with all of another, by products of 0/1 matrices."""
     names = np.intersect1d(a, b)
-    out = np.zeros((len(a_sizes), len(b_sizes)), np.float32)
+    out = np.zeros((len(a_sizes), len(b_sizes)))
 
     def places(cell: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row, col = np.repeat(np.arange(len(sizes)), sizes), np.searchsorted(names, cell)
@@ -297,16 +295,19 @@ def _overlaps(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.nda
 
 
 def _block_links(least: float):
-    """Links between the members of two blocks that join different components, as a forest."""
+    """Links between the members of two blocks that join different components, as a forest.
+
+    Whole cells are compared, as ``similarity`` does, so every edge of the forest is a link.
+    """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         blocks = []
         for k in np.argsort(table.column("block").to_numpy(), kind="stable").tolist():
             raw = [table.column(c)[k].as_py() for c in ("uids", "components", "sizes", "cells")]
-            blocks.append([np.frombuffer(x, t) for x, t in zip(raw, (np.int64, np.int64, np.int64, np.uint32), strict=True)])
+            blocks.append([np.frombuffer(x, t) for x, t in zip(raw, (np.int64, np.int64, np.int64, np.uint64), strict=True)])
         (uid, comp, size, cell), (uid2, comp2, size2, cell2) = blocks[0], blocks[-1]
         both = _overlaps(cell, size, cell2, size2)
-        near = both >= least * (size[:, None] + size2[None, :] - both) - 1e-6
+        near = both >= (least - 1e-12) * (size[:, None] + size2[None, :] - both)
         near &= (comp[:, None] != comp2[None, :]) & (size[:, None] > 0)
         parent: dict[int, int] = {}
 
@@ -322,7 +323,7 @@ def _block_links(least: float):
                 parent[max(p, q)] = min(p, q)
                 out.append((int(uid[i]), int(uid2[j])))
         tidy()
-        return pa.table({"leader": pa.array([a for a, _ in out], pa.int64()), "member": pa.array([b for _, b in out], pa.int64())})
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
@@ -379,8 +380,7 @@ class _Search:
                 break
         else:
             rest = self._rest(self._with_components(members, found))
-            if not rest.isEmpty():
-                found = self._confirmed(rest, found)
+            found = rest if found is None else rest.unionByName(found)
         return found if found is not None else members.select(F.col("uid").alias("a"), F.col("uid").alias("b")).limit(0)
 
     def _sizes_fit(self, a: str, b: str) -> Column:
@@ -416,7 +416,7 @@ class _Search:
         return written(new if found is None else new.unionByName(found), "dart-links")
 
     def _rest(self, now: DataFrame) -> DataFrame:
-        """Candidates among members of different components, one of them outside its bucket's largest component.
+        """Links among members of different components, one of them outside its bucket's largest component.
 
         Such members, and those of the largest component, are packed into blocks of bounded size;
         each pair of blocks is one piece of work that returns a spanning forest of its links.
@@ -442,7 +442,7 @@ class _Search:
         block = F.when(F.col("outside"), F.pmod(draw, F.col("others"))).otherwise(F.col("others") + F.pmod(draw, F.col("mains")))
         placed = placed.withColumn("block", block.cast("int"))
         wanted = here.select("uid").distinct().withColumn("batch", _batch("uid"))
-        sets = wanted.groupBy("batch").applyInArrow(_sets(self.folder, self.text, short=True), "uid long, cells binary")
+        sets = wanted.groupBy("batch").applyInArrow(_sets(self.folder, self.text), "uid long, cells binary")
         full = placed.join(sets.hint("merge"), "uid")
         packed = full.groupBy("band", "block").applyInArrow(
             _pack, "band long, block int, others int, mains int, uids binary, components binary, sizes binary, cells binary"
@@ -453,7 +453,7 @@ class _Search:
             {"first": F.least("block", "with"), "second": F.greatest("block", "with")}
         )
         pairs = pairs.select("band", "first", "second", "block", "uids", "components", "sizes", "cells")
-        found = pairs.groupBy("band", "first", "second").applyInArrow(_block_links(self.least), "leader long, member long")
+        found = pairs.groupBy("band", "first", "second").applyInArrow(_block_links(self.least), "a long, b long")
         return written(found.distinct(), "dart-rest")
 
     def grouped(self) -> DataFrame:

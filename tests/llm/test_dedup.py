@@ -335,3 +335,23 @@ def test_finer_codes_keep_recall(size):
     code = capfilter.CapFilters(64, size)
     found = [len(np.intersect1d(x, y)) > 0 for x, y in zip(code.decode(a), code.decode(b), strict=True)]
     assert np.mean(found) >= 0.99
+
+
+def test_false_edges_displace_no_link():
+    """Links of a pair of blocks come from whole cells: equal upper halves count for nothing."""
+    import pyarrow as pa
+
+    low = np.arange(10, dtype=np.uint64)
+    high = low << np.uint64(32)
+    sets = [high, high + np.uint64(1), high.copy()]  # 0 and 2 are equal, 1 has only its upper halves in common
+    rows = pa.table(
+        {
+            "block": pa.array([0, 1], pa.int32()),
+            "uids": [np.array([0], np.int64).tobytes(), np.array([1, 2], np.int64).tobytes()],
+            "components": [np.array([0], np.int64).tobytes(), np.array([1, 2], np.int64).tobytes()],
+            "sizes": [np.array([10], np.int64).tobytes(), np.array([10, 10], np.int64).tobytes()],
+            "cells": [sets[0].tobytes(), np.concatenate(sets[1:]).tobytes()],
+        }
+    )
+    got = dartminhash._block_links(0.8)((), rows).to_pylist()
+    assert got == [{"a": 0, "b": 2}]
