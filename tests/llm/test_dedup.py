@@ -92,6 +92,27 @@ def test_suffix_levels(spark, seed, size, chunk):
     assert {r.doc_id: r.text for r in kept.collect()} == {i: None if original[i] is None else t for i, t in texts.items()}
 
 
+@pytest.mark.parametrize("bits", [1, 9])
+def test_suffix_fingerprints_are_only_candidates(spark, bits):
+    """Windows that share a fingerprint without being equal stay, and equal ones among them go."""
+    rows = passages(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffixlevels.repeated_bytes(df, batch_bytes=6000, bits=bits).collect()}
+    want = {}
+    for (i, b), m in zip(*covered(rows), strict=True):
+        want[i] = (sum(m), hashlib.sha256(bytes(x for x, y in zip(b, m, strict=True) if not y)).hexdigest())
+    assert got == want
+
+
+def test_suffix_long(spark):
+    """A text longer than a batch, and a passage that lies deep in it."""
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(600_000))
+    df = spark.createDataFrame([(1, long), (2, "x" * 50 + long[400_000:400_300] + "y" * 50), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixlevels.repeated_bytes(df, batch_bytes=10_000).collect()}
+    assert got == {1: (600_000, 300, 1), 2: (400, 300, 1), 3: (0, 0, 0)}
+
+
 def test_anchors_across_chunks(monkeypatch):
     """Chunking a buffer changes nothing."""
     import pyarrow as pa
