@@ -47,8 +47,9 @@ from .shared import new_folder, read_batch, spill_batches, tidy, written
 MATCH = 200
 HEAD = 100
 BATCH_BYTES = 4 << 20
-#: Bytes of text that fall to a range.
+#: Bytes of text that fall to a range, and to a task that works on batches.
 RANGE_BYTES = 8 << 20
+TASK_BYTES = 16 << 20
 CHUNK = 1 << 18
 
 _U = np.uint64
@@ -445,15 +446,15 @@ def _windows_of(folder: str, text: str, match: int):
     return run
 
 
-def _proven(claims: DataFrame, folder: str, text: str, match: int) -> DataFrame:
+def _proven(claims: DataFrame, folder: str, text: str, match: int, tasks: int) -> DataFrame:
     """Spans (batch, start, length) that are covered: claims that hold, on both sides."""
-    spans = claims.groupBy("batch").applyInArrow(
+    spans = claims.repartition(tasks, "batch").groupBy("batch").applyInArrow(
         _claimed(folder, text, match), "batch long, start long, length long, first long, first_start long, sha binary"
     )
     spans = written(spans, "suffix-spans")
     proof = ["first", "first_start", "length", "sha"]
     schema = "first long, first_start long, length long, sha binary"
-    refuted = spans.select(proof).distinct().groupBy("first").applyInArrow(_refuted(folder, text), schema)
+    refuted = spans.select(proof).distinct().repartition(tasks, "first").groupBy("first").applyInArrow(_refuted(folder, text), schema)
     refuted = written(refuted, "suffix-refuted")
     doubtful = None
     if not refuted.isEmpty():
@@ -523,14 +524,17 @@ def _find(docs: DataFrame, text: str, match: int, head: int, batch_bytes: int, b
 
     sent = docs.mapInArrow(spill_batches(folder, batch_bytes, send), _SENT)
     first = written(sent.groupBy("kind", "range").applyInArrow(_own, _ANSWER), "suffix-answers")
-    windows = first.groupBy("batch").applyInArrow(_send_windows(folder, text, match, head, ranges, bits), _SENT)
+    # answers are small, the batches that they ask for aren't: a stated number of tasks, which
+    # adaptive execution doesn't merge into a few
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    windows = first.repartition(tasks, "batch").groupBy("batch").applyInArrow(_send_windows(folder, text, match, head, ranges, bits), _SENT)
     second = written(windows.groupBy("kind", "range").applyInArrow(_own, _ANSWER), "suffix-answers")
-    proven = _proven(second.filter(F.col("kind") == WINDOWS).select("batch", "entries"), folder, text, match)
+    proven = _proven(second.filter(F.col("kind") == WINDOWS).select("batch", "entries"), folder, text, match, tasks)
     none = F.lit(None)
     whole = second.filter(F.col("kind") == COVERED).select(
         "batch", none.cast("long").alias("start"), none.cast("long").alias("length"), "entries"
     )
-    return folder, whole.unionByName(proven.withColumn("entries", none.cast("binary")))
+    return folder, whole.unionByName(proven.withColumn("entries", none.cast("binary"))).repartition(tasks, "batch")
 
 
 def repeated_bytes(
