@@ -15,8 +15,9 @@ the one before). The fit runs on the driver over at most ``SAMPLE`` rated docume
 hashed ids come first; scoring reads whole texts, a row at a time, without a shuffle.
 
 Defined cases: ratings or grades that are null teach nothing, a document rated twice counts with
-its lowest grade; with fewer than two grades to learn from nothing is rejected; a null, empty or
-blank text has grade 0 for certain; rows may repeat; other columns are ignored or passed on.
+its lowest grade, an id with several texts teaches one of them, always the same; with fewer than two grades to learn from nothing is rejected; a null, empty or
+blank text has grade 0 for certain; very long texts are scored whole; rows may repeat; an empty
+table gives an empty result; other columns are ignored or passed on.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ class _Slots(dict):
 
     def __missing__(self, word: str) -> int:
         kind = "A" if word.isupper() and len(word) > 1 else "a"
-        shape = _DIGITS.sub("9", _LETTERS.sub(kind, word))[:8]
+        shape = _DIGITS.sub("9", _LETTERS.sub(kind, word))
         found = _slot("w:" + word.lower()) << 32 | _slot("s:" + shape)
         if len(self) >= CACHE_WORDS:
             self.clear()
@@ -211,7 +212,9 @@ def train(
 
     kind = dict(texts.dtypes)["doc_id"]
     made = texts.mapInArrow(run, f"doc_id {kind}, grade int, slots binary, values binary")
-    rows = made.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    # an id with several texts counts with the one whose features come first, whatever the rows' order
+    first = made.groupBy("doc_id").agg(F.min(F.struct("slots", "values", "grade")).alias("f"))
+    rows = first.select("doc_id", "f.grade", "f.slots", "f.values").toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return CumulativeLink(None, np.zeros(n_grades - 1))
     slots = np.frombuffer(b"".join(x.as_buffer() for x in rows.column("slots")), np.int32)
