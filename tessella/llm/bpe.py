@@ -10,7 +10,8 @@ Encoded words are cached per worker, up to ``CACHE_WORDS`` of ``SHORT`` bytes at
 
 Defined cases: a null text counts as empty and has no ids; the vocabulary's special tokens are
 recognised within texts as the reference library does by default; bytes that do not decode
-become U+FFFD; other columns are ignored.
+become U+FFFD; texts of any length are encoded whole; rows may repeat; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations

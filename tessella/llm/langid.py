@@ -13,7 +13,10 @@ filter's size is fixed, so it may be broadcast.
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, and so is every
 text if there is nothing to learn from; a null language teaches nothing; a null id counts as
 not held out; ties go to the language first in order; a text whose n-grams are all unknown gets
-the language with most training n-grams and score 0; other columns are ignored.
+the language with most training n-grams and score 0; texts of any length are read whole, in chunks;
+rows that repeat count as often as they stand there; an empty table gives an empty result; other
+columns are ignored. Over ``MAX_LANGUAGES`` different languages are an error: it bounds the filter
+(8 MB for each 64 languages), which is broadcast.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces
+from .shared import pieces, written
 
 FILTER_BITS = 20
 HASHES = 3
@@ -182,7 +185,7 @@ def train(labelled: DataFrame, bits: int = FILTER_BITS) -> LanguageFilter:
     slices = np.zeros((words, 1 << bits), np.uint64)
     if not languages:
         return LanguageFilter([], slices, 0)
-    counts = count_grams(known, languages).persist()
+    counts = written(count_grams(known, languages), "langid-counts")
     totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
     if totals:
         sums = F.create_map(*[F.lit(x) for k, v in totals.items() for x in (int(k), float(v))])
@@ -203,7 +206,6 @@ def train(labelled: DataFrame, bits: int = FILTER_BITS) -> LanguageFilter:
         if filled.num_rows:
             w, s = filled.column("word").to_numpy(), filled.column("slot").to_numpy()
             slices[w, s] = filled.column("mask").to_numpy().view(np.uint64)
-    counts.unpersist()
     return LanguageFilter(languages, slices, max(totals, key=lambda k: (totals[k], -k), default=0))
 
 

@@ -11,8 +11,9 @@ where ``pad(n)`` is ``LENGTH - n``, but 0 for a power of two. The first kind is
 ``f[i] + p[i]`` over a sliding window, kept in a monotone queue; powers of two add the few
 transitions from exactly ``p[j] - 2**q``. So a cut point costs constant time.
 
-A partition is worked off in blocks of bounded size: the last windows of a block are held back
-and planned again together with the next block. Nothing is shuffled; sequence numbers are
+A partition is worked off in blocks of bounded size, or of one document if that is larger, which is
+encoded and planned whole: the last windows of a block are held back and planned again together
+with the next block. Nothing is shuffled; sequence numbers are
 (partition, place).
 
 Defined cases: a null text counts as empty and is its end id alone; texts of any length are cut

@@ -7,8 +7,8 @@ longest host wins, then the longest path; a rule given both as allow and as bloc
 rule list is a parameter of bounded size (``MAX_RULES``), so it may be broadcast.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and fits no rule
-that has a host; urls that fit no rule get the default verdict; rows may repeat; other columns
-are ignored.
+that has a host; urls that fit no rule get the default verdict; urls may be of any length; rows may
+repeat; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,6 +58,10 @@ class UrlTrie:
             ends = node.setdefault(None, {})  # beginnings of the segment that follows
             if ends.get(last, ("", "allow"))[1] == "allow":
                 ends[last] = (host + path, verdict)
+            lengths = node.setdefault(0, [])  # of those beginnings, longest first
+            if len(last) not in lengths:
+                lengths.append(len(last))
+                lengths.sort(reverse=True)
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         """(rule, verdict) of the longest rule that fits."""
@@ -75,9 +79,10 @@ class UrlTrie:
         for segment in path.split("/"):
             if node is None:
                 break
-            fits = [x for x in node.get(None, ()) if segment.startswith(x)]
-            if fits:
-                best = node[None][max(fits, key=len)]
+            for n in node.get(0, ()):
+                if n <= len(segment) and (found := node[None].get(segment[:n])):
+                    best = found
+                    break
             node = node.get(segment)
         return best
 

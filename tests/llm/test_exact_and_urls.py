@@ -256,3 +256,20 @@ def test_warc_reads_side_by_side(spark):
 def test_warc_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(df).count() == 0
+
+
+def test_urls_empty_and_long(spark):
+    df = spark.createDataFrame([(1, "http://" + "a." * 50_000 + "net/" + "x/" * 50_000), (2, "http://example.net/en/" + "y" * 10**6)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urltrie.judge_urls(df, URL_RULES).collect()}
+    assert got == {1: ("net/", "block"), 2: ("example.net/en/", "allow")}
+    assert urltrie.judge_urls(df.limit(0), URL_RULES).count() == 0
+
+
+def test_many_rules_on_one_host():
+    """Beginnings of a segment are looked up by length, not one after another."""
+    import time
+
+    trie = urltrie.UrlTrie([("block", "a.org", f"/p{i}") for i in range(100_000)])
+    begun = time.perf_counter()
+    assert all(trie.match("a.org", f"/p{i}x") == (f"a.org/p{i}", "block") for i in range(0, 100_000, 50))
+    assert time.perf_counter() - begun < 1

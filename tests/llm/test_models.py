@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import langid, ordinal
-from tessella.llm.queries import op1_quality, op4_language_id
+from tessella.llm.queries import op1_quality, op4_language_id, quality_model
 from tessella.sources.tables import load
 
 SF = "/root/testdata/sf0.1"
@@ -108,3 +109,108 @@ def test_language_edges(spark):
     assert nothing.count() == 0
     unlabelled = langid.identify(df.filter("lang is null"))
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
+
+
+def plain_features(text):
+    """The features of a text, by name, as the docstring states them."""
+    import re
+
+    words = (text or "").split()
+    out = Counter()
+    for w in set(words):
+        kind = "A" if w.isupper() and len(w) > 1 else "a"
+        shape = re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", kind, w))
+        out["w:" + w.lower()] += len(set(words)) ** -0.5
+        out["s:" + shape] += 1 / len(set(words))
+    if words:
+        again = sum(a == b for a, b in zip(words, words[1:])) / len(words)
+        out[f"r:{int(10 * again)}"] += 0.5
+        out[f"u:{int(10 * len(set(words)) / len(words))}:{len(words).bit_length()}"] += 0.5
+    else:
+        out["none"] += 1.0
+    return out
+
+
+def test_scores_by_brute_force(spark):
+    """Scores of a query equal the formula over features by name."""
+    docs = load(spark, "/root/testdata/sf0.001", "documents")
+    model = quality_model(docs, spark, "/root/testdata/sf0.001")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in ordinal.score(docs, model).collect():
+        x = sum(v * float(model.weights[zlib.crc32(k.encode()) % ordinal.DIMENSION]) for k, v in plain_features(texts[r.doc_id]).items())
+        tails = 1 / (1 + np.exp(model.thresholds - x)) if texts[r.doc_id].strip() else np.zeros(2)
+        assert r.tail_prob == pytest.approx(tails[1], abs=1e-4) and r.expected_grade == pytest.approx(tails.sum(), abs=2e-4)
+
+
+def test_fit_by_plain_gradient():
+    """The fit is about as good as plain gradient descent on the same likelihood."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(2, 5))) for _ in range(200)]
+    grades = np.array([min(2, t.count("a") + t.count("b")) for t in texts])
+    names = sorted({k for t in texts for k in plain_features(t)})
+    x = np.array([[plain_features(t)[k] for k in names] for t in texts])
+
+    def loss(p):
+        return -np.log(np.maximum(p[np.arange(200), grades], 1e-9)).mean()
+
+    w, cut = np.zeros(len(names)), np.array([-0.5, 0.5])
+
+    def chances():
+        below = np.concatenate([np.zeros((200, 1)), 1 / (1 + np.exp(-(cut[None] - (x @ w)[:, None]))), np.ones((200, 1))], axis=1)
+        return np.diff(below, axis=1), below
+
+    for _ in range(4000):
+        p, below = chances()
+        lo, hi = below[np.arange(200), grades], below[np.arange(200), grades + 1]
+        own = np.maximum(hi - lo, 1e-9)
+        w -= 0.5 * (x * ((hi * (1 - hi) - lo * (1 - lo)) / own)[:, None]).mean(0)
+        for k in range(2):
+            s = below[:, k + 1] * (1 - below[:, k + 1])
+            cut[k] -= 0.5 * (np.where(grades == k, -s, 0) + np.where(grades == k + 1, s, 0)).dot(1 / own) / 200
+    model = ordinal.fit(*ordinal.features(texts), grades, 3)
+    tails = model.score(texts)
+    ours = np.concatenate([1 - tails[:, :1], tails[:, :1] - tails[:, 1:], tails[:, 1:]], axis=1)
+    assert loss(ours) <= loss(chances()[0]) + 0.02
+
+
+def test_repeated_ids_teach_the_same(spark):
+    rows = [(i % 20, f"{'good fine' if i % 2 else 'bad junk'} text {i}") for i in range(60)]
+    graded = spark.createDataFrame([(i, i % 3) for i in range(20)], "doc_id long, grade int")
+    models = [ordinal.train(spark.createDataFrame(some, "doc_id long, text string").repartition(n), graded) for some, n in ((rows, 1), (rows[::-1], 5))]
+    assert (models[0].weights == models[1].weights).all()
+
+
+def test_language_by_brute_force(spark):
+    """Predictions equal those of exact n-gram sets, kept without a filter."""
+    docs = load(spark, "/root/testdata/sf0.001", "documents")
+    rows = {r.doc_id: r for r in docs.collect()}
+
+    def grams(text):
+        b = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in f" {text.lower()} ".encode())
+        return [b[i : i + 4] for i in range(len(b) - 3) if b"  " not in b[i : i + 4]]
+
+    counts = defaultdict(Counter)
+    for r in rows.values():
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text is not None:
+            counts[r.lang].update(grams(r.text))
+    rates = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
+    top = Counter()
+    for own in rates.values():
+        for g, x in own.items():
+            top[g] = max(top[g], x)
+    sets = {k: {g for g, x in own.items() if x >= langid.MIN_RATE and x * langid.SHARE >= top[g]} for k, own in rates.items()}
+    same = []
+    for r in langid.identify(docs).collect():
+        found = grams(rows[r.doc_id].text or "")
+        hits = {k: sum(g in sets[k] for g in found) for k in sorted(sets)}
+        if r.lang_pred != langid.UNKNOWN and sum(hits.values()):
+            best = max(hits, key=lambda k: hits[k])
+            same.append(r.lang_pred == best and abs(r.score - hits[best] / sum(hits.values())) < 0.05)
+    assert len(same) > 100 and np.mean(same) >= 0.98
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    df = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.identify(df)

@@ -119,3 +119,14 @@ def test_cuts_are_optimal():
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(df, PATH).count() == 0 and bpe.round_trip(df, PATH).count() == 0
+
+
+def test_repeated_and_long_rows(spark, library):
+    """Repeated rows are packed and encoded each; a long text is encoded whole."""
+    long = "word, and another. " * 60_000
+    df = spark.createDataFrame([(1, "same text"), (1, "same text"), (2, long), (None, None)], "doc_id long, text string")
+    n = len(library.encode(long, add_special_tokens=False).ids)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in bpe.round_trip(df, PATH).collect()) == [("1", 2), ("1", 2), ("2", n), ("None", 0)]
+    rows = packing.pack(df, PATH).collect()
+    assert sum(r.length for r in rows if r.doc_id == 1) == 6 and sum(r.length for r in rows if r.doc_id == 2) == n + 1
+    assert sum(r.length for r in rows if r.doc_id is None) == 1
