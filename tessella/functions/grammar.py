@@ -236,7 +236,7 @@ def statistics(sentences: list[str]) -> dict[str, int]:
     return out
 
 
-@udtf(returnType="idx int, sentence string, start int, end int, kind string")
+@udtf(returnType="idx int, sentence string, start int, end int, kind string", useArrow=True)
 class SplitSentences:
     """Table function: sentences of a text."""
 
@@ -249,5 +249,4 @@ def sentences_of(df: DataFrame, text: str) -> DataFrame:
     """Rows with each of their text's sentences."""
     spark = df.sparkSession
     spark.udtf.register("split_sentences", SplitSentences)
-    df.createOrReplaceTempView("_sentence_source")
-    return spark.sql(f"SELECT s.*, p.* FROM _sentence_source s, LATERAL split_sentences(s.`{text}`) p")
+    return spark.sql(f"SELECT s.*, p.* FROM {{df}} s, LATERAL split_sentences(s.`{text}`) p", df=df)

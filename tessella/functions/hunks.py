@@ -23,13 +23,19 @@ def _name(text: str) -> str | None:
     return None if name == "/dev/null" else name[2:] if name[:2] in ("a/", "b/") else name
 
 
+def lines_of(text: str) -> list[str]:
+    """Lines as git counts them: line feeds alone end one."""
+    lines = text.split("\n")
+    return lines if lines[-1] else lines[:-1]
+
+
 def parse_diff(text: str) -> Iterator[tuple]:
     """Hunks as rows of ``HUNK``; lines are half-open ranges, a count left out is 1, a pure rename has none."""
     before = after = None
     rename: list[str | None] = [None, None]
     hunk: list | None = None
     pending = False
-    for line in text.splitlines():
+    for line in lines_of(text):
         if hunk is not None and line[:1] in ("-", "+", "\\") and (len(hunk[6]) < hunk[3] - hunk[2] or len(hunk[7]) < hunk[5] - hunk[4] or line[0] == "\\"):
             if line[0] == "-":
                 hunk[6].append(line[1:])
@@ -65,7 +71,7 @@ def parse_diff(text: str) -> Iterator[tuple]:
         yield (*rename, 0, 0, 0, 0, [], [])
 
 
-@udtf(returnType=HUNK)
+@udtf(returnType=HUNK, useArrow=True)
 class DiffHunks:
     """Table function: hunks of a diff."""
 
@@ -78,8 +84,7 @@ def hunks_of(df: DataFrame, text: str) -> DataFrame:
     """Rows with each of their diff's hunks."""
     spark = df.sparkSession
     spark.udtf.register("diff_hunks", DiffHunks)
-    df.createOrReplaceTempView("_diff_source")
-    return spark.sql(f"SELECT s.*, h.* FROM _diff_source s, LATERAL diff_hunks(s.`{text}`) h")
+    return spark.sql(f"SELECT s.*, h.* FROM {{df}} s, LATERAL diff_hunks(s.`{text}`) h", df=df)
 
 
 def is_rename(before: Column, after: Column) -> Column:
@@ -98,5 +103,5 @@ def renames(h: DataFrame, by: list[str]) -> DataFrame:
 
 def unified(a: str, b: str, name: str) -> str:
     """Diff of two texts without context lines."""
-    lines = difflib.unified_diff(a.splitlines(), b.splitlines(), f"a/{name}", f"b/{name}", n=0, lineterm="")
+    lines = difflib.unified_diff(lines_of(a), lines_of(b), f"a/{name}", f"b/{name}", n=0, lineterm="")
     return "\n".join(lines)

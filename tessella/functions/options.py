@@ -135,7 +135,7 @@ def _unescape(text: str | None) -> list[str]:
 
 def compatible(probes: DataFrame, table: DataFrame, other: str) -> DataFrame:
     """Whether the versions of each probe (coq, other) work together; a null one works with all."""
-    t = F.broadcast(table.select(F.col("coq").alias("_c"), F.col(other).alias("_o"), F.lit(True).alias("_ok")).distinct())
+    t = table.select(F.col("coq").alias("_c"), F.col(other).alias("_o"), F.lit(True).alias("_ok")).distinct()
     both = probes.join(t, (F.col("coq") == F.col("_c")) & (F.col(other) == F.col("_o")), "left")
     ok = F.col("coq").isNull() | F.col(other).isNull() | F.coalesce("_ok", F.lit(False))
     return both.withColumn("compatible", ok).drop("_c", "_o", "_ok")

@@ -47,7 +47,7 @@ def order_violations(order: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").filter("src_place >= dst_place")
 
 
-def connected(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, component) by the least node of each component; edges have no direction.
 
     Labels of neighbours are taken over and then followed to their own label, so the number of
@@ -56,7 +56,7 @@ def connected(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     both = stored(both.union(both.select("b", "a")).distinct())
     label = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
         new = label.join(near, "node").select("node", F.least("label", "seen").alias("label"))
         jump = new.select(F.col("node").alias("label"), F.col("label").alias("further"))
@@ -65,16 +65,15 @@ def connected(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         label, done = new, changed.isEmpty()
         if done:
             return label.select("node", F.col("label").alias("component"))
-    raise RuntimeError("components did not settle")
 
 
 def reachable(spark: SparkSession, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node) of all nodes that roots reach, themselves included: a recursive query."""
-    edges.select("src", "dst").createOrReplaceTempView("_reach_edges")
-    roots.select("node").createOrReplaceTempView("_reach_roots")
     return spark.sql(
-        """WITH RECURSIVE r(root, node) AS (SELECT node, node FROM _reach_roots UNION ALL
-        SELECT r.root, e.dst FROM r JOIN _reach_edges e ON e.src = r.node) SELECT DISTINCT root, node FROM r"""
+        """WITH RECURSIVE r(root, node) AS (SELECT node, node FROM {roots} UNION ALL
+        SELECT r.root, e.dst FROM r JOIN {edges} e ON e.src = r.node) SELECT DISTINCT root, node FROM r""",
+        edges=edges.select("src", "dst"),
+        roots=roots.select("node"),
     )
 
 
@@ -96,5 +95,9 @@ def dependency_split(uses: DataFrame, owned: DataFrame) -> DataFrame:
 
 def guess_packages(libraries: DataFrame, mappings: DataFrame, strict: bool = False) -> DataFrame:
     """Packages whose name pattern (physical, logical prefix) fits a library; a prefix may end inside a part unless ``strict``."""
-    end = "(\\\\.|$)" if strict else ""
-    return libraries.join(mappings, F.expr(f"library RLIKE concat('^', replace(logical, '.', '\\\\.'), '{end}')")).select("library", "package").distinct()
+    every = F.transform(F.sequence(F.lit(0), F.length("library")), lambda n: F.left("library", n))
+    begins = libraries.select("library", F.explode(every).alias("logical"))  # an equal join instead of a pattern per pair
+    if strict:
+        after = F.substring("library", F.length("logical") + 1, F.lit(1))
+        begins = begins.filter(after.isin("", "."))
+    return begins.join(mappings, "logical").select("library", "package").distinct()
