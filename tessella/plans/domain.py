@@ -12,24 +12,6 @@ from ..operators import snapshots as P
 from ..sources.tables import load
 from .registry import query
 
-_BIPARTITE = """e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09)"""
-
-
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    some = load(spark, d, "lineitem").filter("l_quantity >= 49 AND l_discount >= 0.09")
-    src = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-    return some.select(src.alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
-
-
-@query(
-    f"""WITH RECURSIVE {_BIPARTITE}, b AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
-    r AS (SELECT a AS node, a AS seen FROM b UNION SELECT b.b, r.seen FROM r JOIN b ON b.a = r.node)
-    SELECT node, min(seen) AS component FROM r GROUP BY node"""
-)
-def components(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.connected(_edges(spark, d))
-
-
 @query()
 def lineitem_components(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers and parts connected by any row of lineitem."""

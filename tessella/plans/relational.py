@@ -13,26 +13,6 @@ from ..operators import snapshots as P
 from ..sources.tables import load
 from .registry import query
 
-_ASCII = r"regexp_matches({c}, '^[\x00-\x7F]*$')"
-
-
-@query(
-    f"""WITH p AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text FROM conversations),
-    q AS (SELECT *, levenshtein(text[:200], next_text[:200]) AS d, least(length(text), 200) AS a, least(length(next_text), 200) AS b FROM p
-      WHERE next_text IS NOT NULL AND {_ASCII.format(c="text")} AND {_ASCII.format(c="next_text")})
-    SELECT conv_id, turn, d::BIGINT AS distance, round(CASE WHEN a + b = 0 THEN 0.0 ELSE 2.0 * d / (a + b + d) END, 9) AS tanimoto FROM q"""
-)
-def adjacent_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Edit distance of what adjacent turns begin with (an excerpt of 200 characters is the feature)."""
-    pairs = S.consecutive(load(spark, d, "conversations"), ["conv_id"], ["turn"], ["text"])
-    plain = r"^[\x00-\x7F]*$"
-    pairs = pairs.filter(F.col("text").rlike(plain) & F.col("next_text").rlike(plain))
-    a, b = F.left("text", F.lit(200)), F.left("next_text", F.lit(200))
-    return pairs.select(
-        "conv_id", "turn", T.edit_distance(a, b).cast("long").alias("distance"), F.round(T.norm_edit_distance(a, b), 9).alias("tanimoto")
-    )
-
-
 @query()
 def adjacent_distance(spark: SparkSession, d: str) -> DataFrame:
     """Edit distance, in code points, of the whole texts of all adjacent turns; null where a text is."""
