@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from ..functions import text as T
 from ..functions import versions as V
 from ..operators import metadata as M
@@ -393,3 +394,15 @@ def version_popularity(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.formulas import popularity
 
     return popularity(_versions(spark, d), "v", ['>= "0.5"', '>= "1.10"', '>= "2.0"'])
+
+
+@query(
+    """WITH l AS (SELECT p_partkey, string_split(p_name, ' ') AS l FROM part)
+    SELECT p_partkey, list_aggregate(list_transform(range(1, len(l) + 1), lambda n: list_aggregate(list_slice(l, len(l) - n + 1, len(l)), 'string_agg', '.')),
+      'string_agg', ' ') AS names FROM l"""
+)
+def interpolated_names(spark: SparkSession, d: str) -> DataFrame:
+    """Part names as dotted identifiers, from the last part alone to the whole name."""
+    full = F.replace("p_name", F.lit(" "), F.lit("."))
+    found = N.interpolated(F.element_at(F.split("p_name", " "), -1), full)
+    return load(spark, d, "part").select("p_partkey", F.concat_ws(" ", found).alias("names"))
