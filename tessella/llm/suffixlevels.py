@@ -504,12 +504,22 @@ class _Covered:
         return (data[~self.marks[a:b]] if self.removed[i] else data).tobytes()
 
 
+def _answered(sent: DataFrame, tasks: int) -> DataFrame:
+    """The owners' answers to what the batches sent, as a written table."""
+    dealt = sent.repartition(tasks, "kind", "range").groupBy("kind", "range")
+    return written(dealt.applyInArrow(_own, _ANSWER), "suffix-answers")
+
+
 def _find(docs: DataFrame, text: str, match: int, head: int, batch_bytes: int, bits: int) -> tuple[str, DataFrame]:
     """Store the rows as batches; their folder and what is covered, at least one row per batch."""
     spark = docs.sparkSession
     folder = new_folder(spark, "suffix-batches")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(least, -(-total // RANGE_BYTES))
+    # a stated number of tasks, in proportion to the texts: adaptive execution doesn't merge them, and
+    # no task gets more ranges or batches as the input grows
+    tasks = max(least, -(-total // TASK_BYTES))
 
     def send(rows: pa.Table, number: int):
         a = Anchors(Buffer(rows.column(text)), match, head)
@@ -523,12 +533,9 @@ def _find(docs: DataFrame, text: str, match: int, head: int, batch_bytes: int, b
         yield from _sent(out).to_batches()
 
     sent = docs.mapInArrow(spill_batches(folder, batch_bytes, send), _SENT)
-    first = written(sent.groupBy("kind", "range").applyInArrow(_own, _ANSWER), "suffix-answers")
-    # answers are small, the batches that they ask for aren't: a stated number of tasks, which
-    # adaptive execution doesn't merge into a few
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    first = _answered(sent, tasks)
     windows = first.repartition(tasks, "batch").groupBy("batch").applyInArrow(_send_windows(folder, text, match, head, ranges, bits), _SENT)
-    second = written(windows.groupBy("kind", "range").applyInArrow(_own, _ANSWER), "suffix-answers")
+    second = _answered(windows, tasks)
     proven = _proven(second.filter(F.col("kind") == WINDOWS).select("batch", "entries"), folder, text, match, tasks)
     none = F.lit(None)
     whole = second.filter(F.col("kind") == COVERED).select(
