@@ -307,21 +307,18 @@ def _block_links(least: float):
             blocks.append([np.frombuffer(x, t) for x, t in zip(raw, (np.int64, np.int64, np.int64, np.uint64), strict=True)])
         (uid, comp, size, cell), (uid2, comp2, size2, cell2) = blocks[0], blocks[-1]
         both = _overlaps(cell, size, cell2, size2)
-        near = both >= (least - 1e-12) * (size[:, None] + size2[None, :] - both)
-        near &= (comp[:, None] != comp2[None, :]) & (size[:, None] > 0)
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.get(x, x) != x:
-                x = parent[x]
-            return x
-
+        # one row of the matrix at a time: nearly all pairs of a group of copies are near. An edge
+        # merges two components at once, so each row meets every component once at most
         out = []
-        for i, j in np.argwhere(near).tolist():
-            p, q = root(int(comp[i])), root(int(comp2[j]))
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                out.append((int(uid[i]), int(uid2[j])))
+        for i in np.flatnonzero(size).tolist():
+            near = both[i] >= (least - 1e-12) * (size[i] + size2 - both[i])
+            at = np.flatnonzero(near & (comp2 != comp[i]))
+            if len(at):
+                met, first = np.unique(comp2[at], return_index=True)
+                out += [(int(uid[i]), int(uid2[j])) for j in at[first].tolist()]
+                here = comp[i]
+                comp = np.where(np.isin(comp, met), here, comp)
+                comp2 = np.where(np.isin(comp2, met), here, comp2)
         tidy()
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
