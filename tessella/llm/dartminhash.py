@@ -46,6 +46,8 @@ STAR_ROUNDS = 3
 #: Members, and cells of members, of a block.
 BLOCK, BLOCK_CELLS = 2048, 1 << 21
 BATCH_BYTES = 4 << 20
+#: Batches that fall to a task that writes what is left of them.
+TASK_BATCHES = 4
 CHUNK = 1 << 19
 
 _U = np.uint64
@@ -486,6 +488,11 @@ def drop_near_copies(
     base = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     search = _Search(base, f"c{columns.index(id_col)}", f"c{columns.index(text_col)}", least, batch_bytes)
     stay = search.grouped().filter(F.col("uid") == F.col("keeper")).select("uid", _batch("uid").alias("batch"))
+    # ids are small, the batches that they ask for aren't: a stated number of tasks, which adaptive
+    # execution doesn't merge into a few
+    batches = search.rows.agg(F.count_distinct(_batch("uid"))).first()[0]
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-batches // TASK_BATCHES))
+    stay = stay.repartition(tasks, "batch")
     folder = search.folder
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
