@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formulas, grammar, hunks, options, sexp, spans
-from ..operators import alignment, graphs, metadata, records, repairs, sampling, sequences
+from ..operators import alignment, graphs, metadata, projects, records, repairs, sampling, sequences
 from ..operators import goals as goal_states
 from ..operators import snapshots as P
 from ..sources.tables import load
@@ -87,6 +87,49 @@ def guess_packages(spark: SparkSession, d: str) -> DataFrame:
     return graphs.guess_packages(load(spark, d, "part").select(F.col("p_type").alias("library")).distinct(), mappings)
 
 
+_FILES = """f AS (SELECT DISTINCT p_brand AS project, replace(p_type, ' ', '/') || '/part' || p_partkey || '.v' AS path FROM part),
+    u AS (SELECT project, string_split(path, '/') AS parts, unnest(range(1, len(parts) + 1)) AS n FROM f),
+    l AS (SELECT DISTINCT project, array_to_string(parts[:n], '/') AS path, replace(regexp_replace(path, '[.]v$', ''), '/', '.') AS library FROM u),
+    a AS (SELECT project, CASE WHEN starts_with(library, 'PROMO.') THEN 'Sale' || substr(library, 6) ELSE 'Sale' END AS alias, library FROM l WHERE library = 'PROMO' OR starts_with(library, 'PROMO.')
+    UNION SELECT project, 'All.' || library, library FROM l)"""
+
+
+def _project_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as files of their brand, in folders by type, and two load paths for each."""
+    path = F.concat(F.replace(F.col("p_type"), F.lit(" "), F.lit("/")), F.lit("/part"), F.col("p_partkey").cast("string"), F.lit(".v"))
+    files = load(spark, d, "part").select(F.col("p_brand").alias("project"), path.alias("path"))
+    paths = spark.sql("SELECT * FROM VALUES ('PROMO', 'Sale'), ('.', 'All') AS m(folder, name)")
+    return files, files.select("project").distinct().join(F.broadcast(paths), F.lit(True))
+
+
+@query(
+    f"""WITH {_FILES} SELECT DISTINCT project, array_to_string(parts[:n - 1], '/') AS src, array_to_string(parts[:n], '/') AS dst, 'ParentToChild' AS type FROM u"""
+)
+def project_files(spark: SparkSession, d: str) -> DataFrame:
+    return projects.add_files(_project_files(spark, d)[0])
+
+
+@query(f"WITH {_FILES} SELECT project, alias, library FROM a")
+def project_aliases(spark: SparkSession, d: str) -> DataFrame:
+    files, paths = _project_files(spark, d)
+    return projects.add_aliases(projects.libraries(files), paths)
+
+
+@query(
+    f"""WITH {_FILES}, r AS (SELECT DISTINCT p_brand AS project, 'size' || p_size AS library, 'Sale.' || replace(p_type, ' ', '.') AS requirement FROM part),
+    s AS (SELECT DISTINCT project, requirement, string_split(requirement, '.') AS parts, unnest(range(1, len(parts) + 1)) AS n FROM r),
+    k AS (SELECT library AS known, project, library FROM l UNION SELECT alias, project, library FROM a)
+    SELECT project, requirement AS src, library AS dst, 'DependencyToRequirement' AS type FROM r
+    UNION SELECT s.project, s.requirement, k.project || ':' || k.library, 'DependencyToLibrary' FROM s JOIN k ON k.known = array_to_string(s.parts[s.n:], '.')"""
+)
+def project_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    files, paths = _project_files(spark, d)
+    found = projects.libraries(files)
+    text = F.concat(F.lit("From Sale Require Import "), F.replace(F.col("p_type"), F.lit(" "), F.lit(".")), F.lit("."))
+    sentences = load(spark, d, "part").select(F.col("p_brand").alias("project"), F.concat(F.lit("size"), F.col("p_size").cast("string")).alias("library"), text.alias("text"))
+    return projects.add_dependencies(projects.add_requirements(sentences), found, projects.add_aliases(found, paths))
+
+
 def _conversation_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A conversation's turns, and a later revision: some turns gone, the others shorter."""
     turns = load(spark, d, "conversations").select("conv_id", "turn", "text")
